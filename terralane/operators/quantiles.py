@@ -7,9 +7,14 @@ narrow bins are ordered. Every pass is a map-side combined aggregate.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from terralane.session import cut
+
 BINS = 65_536
+WHOLE_BINS = 1024
 
 
 def _narrow(df: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,9 +47,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     Nulls and NaN are skipped. ``by=None`` gives one row for the whole input. Grouping keys
     must not be null.
     """
-    keys = by or ["_all"]
-    base = df.withColumn("_all", F.lit(0)) if by is None else df
-    base = (base.select(*keys, F.col(value).cast("double").alias("_v"))
+    if by is None:
+        return _whole_quantiles(df, value, probs, prefix)
+    keys = by
+    base = (df.select(*keys, F.col(value).cast("double").alias("_v"))
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     stats = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"),
                                     F.max("_v").alias("hi"))
@@ -56,7 +62,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         F.floor("t.pos").alias("below"), F.ceil("t.pos").alias("above"))
     targets = (wanted.select(*keys, "lo", "hi", F.explode(F.array("below", "above")).alias("rank"))
                .distinct().withColumn("before", F.lit(0).cast("long")))
-    targets = _narrow(base, _narrow(base, targets, keys), keys)
+    # the rank table is small (groups x ranks); cutting it keeps the passes independent
+    targets = cut(_narrow(base, targets, keys))
+    targets = cut(_narrow(base, targets, keys))
     ranges = targets.select(*keys, "lo", "hi", "before").distinct()
     counts = (base.join(ranges, keys).filter(F.col("_v").between(F.col("lo"), F.col("hi")))
               .groupBy(*keys, "lo", "hi", "before", "_v").agg(F.count("*").alias("cnt")))
@@ -74,6 +82,50 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     full = wanted.join(lo, keys + ["below"]).join(hi, keys + ["above"])
     full = full.withColumn("q", F.col("v_below") + (F.col("pos") - F.col("below"))
                            * (F.col("v_above") - F.col("v_below")))
-    out = full.groupBy(*keys).agg(*[
+    return full.groupBy(*keys).agg(*[
         F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"{prefix}{i}") for i in range(len(probs))])
-    return out.drop("_all") if by is None else out
+
+
+def _whole_quantiles(df: DataFrame, value: str, probs: list[float], prefix: str) -> DataFrame:
+    """Percentiles of one ungrouped column; each pass returns at most ``WHOLE_BINS`` rows
+    per wanted rank to the driver."""
+    v = F.col(value).cast("double")
+    base = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    n, lo, hi = base.agg(F.count("*"), F.min("_v"), F.max("_v")).first()
+    schema = ", ".join(f"{prefix}{i} double" for i in range(len(probs)))
+    spark = df.sparkSession
+    if n == 0:
+        return spark.createDataFrame([(None,) * len(probs)], schema)
+    ranks = {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+    found: dict[int, float] = {}
+    open_ranges = {(lo, hi, 0): sorted(ranks)}
+    while open_ranges:
+        todo = [(key, rs) for key, rs in open_ranges.items() if key[0] < key[1]]
+        for key, rs in open_ranges.items():
+            if key[0] == key[1]:
+                found.update({r: key[0] for r in rs})
+        open_ranges = {}
+        if not todo:
+            break
+        slot = F.lit(None).cast("long")
+        for i, ((a, b, _), _) in enumerate(todo):
+            # a subnormal width would divide to infinity, hence the clamp on both ends
+            place = F.floor(F.least((F.col("_v") - a) / max((b - a) / WHOLE_BINS, 5e-324),
+                                    F.lit(WHOLE_BINS - 1.0)))
+            slot = F.when(F.col("_v").between(a, b), F.lit(i * WHOLE_BINS) + place).otherwise(slot)
+        rows = (base.select("_v", slot.alias("slot")).filter(F.col("slot").isNotNull())
+                .groupBy("slot").agg(F.count("*"), F.min("_v"), F.max("_v")).orderBy("slot").collect())
+        for i, ((_, _, before), rs) in enumerate(todo):
+            for s, cnt, vlo, vhi in rows:
+                if s // WHOLE_BINS != i:
+                    continue
+                here = [r for r in rs if before <= r < before + cnt]
+                if here:
+                    open_ranges[(vlo, vhi, before)] = here
+                before += cnt
+    out = []
+    for p in probs:
+        pos = (n - 1) * p
+        a, b = found[math.floor(pos)], found[math.ceil(pos)]
+        out.append(a + (pos - math.floor(pos)) * (b - a))
+    return spark.createDataFrame([tuple(out)], schema)

@@ -29,6 +29,11 @@ BODIES = {
         b.band as band, case when b.band=4 then 500.0e0+(o_orderkey*13)%700
         else 900.0e0+(o_orderkey*29)%1500 end as v
         from orders cross join (select 4 as band union all select 8 as band) b""",
+    # twelve bands, so that every index has its inputs
+    "fx_scene": """select cast(floor(o_orderkey/500.0e0) as int) as r, cast(o_orderkey%500 as int) as c,
+        b.band as band, 300.0e0+100*b.band+(o_orderkey*(7+2*b.band))%(500+50*b.band) as v
+        from orders cross join (select n_nationkey as band from nation
+        where n_nationkey between 1 and 12) b""",
     "fx_edges": """select p_partkey as src, p_partkey+1 as dst, 100.0e0+(p_partkey*31)%50 as length
         from part where p_partkey%40<39 union all
         select a.p_partkey, a.p_partkey+40, 100.0e0+(a.p_partkey*17)%50
