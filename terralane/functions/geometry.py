@@ -136,6 +136,15 @@ def _cross(ox, oy, ax, ay, bx, by) -> Column:
     return (ax - ox) * (by - oy) - (ay - oy) * (bx - ox)
 
 
+def is_own_box(geom: Column, minx, miny, maxx, maxy) -> Column:
+    """The polygon is exactly its bounding box: one ring whose vertices are all corners."""
+    ring = geom["rings"][0]
+    corner = F.forall(ring, lambda p: ((p["x"] == minx) | (p["x"] == maxx))
+                      & ((p["y"] == miny) | (p["y"] == maxy)))
+    full = F.abs(ring_signed_area(ring)) >= (maxx - minx) * (maxy - miny) * (1 - 1e-9)
+    return (F.size(geom["rings"]) == 1) & (F.size(ring) == 5) & corner & full
+
+
 def on_edge(e: Column, x: Column, y: Column) -> Column:
     px, py, qx, qy = e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]
     return ((_cross(px, py, qx, qy, x, y) == 0)

@@ -87,10 +87,14 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, boundary: bool =
 
     Layers without a ``geom`` column are taken as plain boxes.
     """
+    if "geom" in polygons.columns:
+        polygons = polygons.withColumn("_box", G.is_own_box(F.col("geom"), *[F.col(c) for c in BOX]))
     pairs = bbox_pairs(point_boxes(points), polygons, a_is_points=True)
     if "geom" in polygons.columns:
         test = G.covers_point if boundary else G.contains_point
-        pairs = pairs.filter(test(F.col("b_geom"), F.col("a_x"), F.col("a_y")))
+        exact = test(F.col("b_geom"), F.col("a_x"), F.col("a_y"))
+        # a polygon that is its own bounding box needs no ring walk
+        pairs = pairs.filter(F.col("b__box") | exact if boundary else exact).drop("b__box")
     elif not boundary:
         pairs = pairs.filter((F.col("a_x") > F.col("b_minx")) & (F.col("a_x") < F.col("b_maxx"))
                              & (F.col("a_y") > F.col("b_miny")) & (F.col("a_y") < F.col("b_maxy")))

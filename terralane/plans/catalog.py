@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from terralane.plans import joins, layers, rasters  # noqa: F401
+from terralane.plans import joins, layers, rasters, terrains  # noqa: F401
 from terralane.plans.registry import ORACLES, QUERIES  # noqa: F401
