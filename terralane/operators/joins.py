@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from terralane.functions import geometry as G
+from terralane.operators.accumulate import attach_list
 from terralane.operators.nearest import knn_join
 from terralane.session import require
 
@@ -250,12 +251,10 @@ def distance_matrix(points: DataFrame, landmarks: DataFrame, method: str = "eucl
     The matrix of a small layer is ``distance_matrix(layer, layer)``. Large layers use
     ``within_distance_join``: a dense matrix of a large layer is quadratic by definition.
     """
-    rows = landmarks.select("id", "x", "y").limit(LANDMARK_LIMIT + 1).collect()
-    if len(rows) > LANDMARK_LIMIT:
-        raise ValueError(f"more than {LANDMARK_LIMIT} landmarks; use within_distance_join")
-    table = F.array(*[F.struct(F.lit(r[0]).alias("j"), F.lit(float(r[1])).alias("jx"),
-                               F.lit(float(r[2])).alias("jy")) for r in rows])
-    out = points.select(F.col("id").alias("i"), "x", "y", F.explode(table).alias("t"))
+    marks = landmarks.select(F.col("id").alias("j"), F.col("x").cast("double").alias("jx"),
+                             F.col("y").cast("double").alias("jy"))
+    packed = attach_list(points.select("id", "x", "y"), marks, ["j", "jx", "jy"], LANDMARK_LIMIT, "_t")
+    out = packed.select(F.col("id").alias("i"), "x", "y", F.explode("_t").alias("t"))
     args = (F.col("x"), F.col("y"), F.col("t.jx"), F.col("t.jy"))
     dist = G.haversine(*args, radius=radius) if method == "haversine" else G.euclidean(*args)
     return out.select("i", F.col("t.j").alias("j"), dist.alias("dist"))

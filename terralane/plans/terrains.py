@@ -206,7 +206,7 @@ def _(fx):
 
 SUN = """m as (select id, x, y, d.day, h.h, epoch(d.day)+h.h*3600.0e0 as s from fx_places
  cross join (values (timestamp '2024-06-21'),(timestamp '2024-12-21')) d(day) cross join (select unnest(generate_series(0,23)) as h) h),
-a as (select id, x, y, day, s/86400.0e0+2440587.5e0-2451545.0e0 as n from m), b as (select *, n/36525.0e0 as t from a),
+a as (select id, x, y, day, s/86400.0e0-10957.5e0 as n from m), b as (select *, n/36525.0e0 as t from a),
 c as (select *, radians((357.52911e0+35999.0503e0*t-0.0001537e0*t*t)%360) as g, (280.46646e0+36000.76983e0*t+0.0003032e0*t*t)%360 as l0,
  radians(23.439291e0-0.013004e0*t-0.00000016e0*t*t+0.000000504e0*t*t*t) as eps from b),
 d as (select *, radians(l0+(1.9146e0-0.004817e0*t-0.000014e0*t*t)*sin(g)+(0.019993e0-0.000101e0*t)*sin(2*g)+0.00029e0*sin(3*g)) as lam from c),
