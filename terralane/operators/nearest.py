@@ -1,6 +1,7 @@
-"""Exact nearest and k-nearest joins by descending a grid pyramid.
+"""Exact nearest and k-nearest joins.
 
-The right side is summarised into a pyramid of grid cells (count and tight bounds per
+A right side below a checked row limit is broadcast as a point index, so the left side is
+not shuffled at all. A larger one is summarised into a pyramid of grid cells (count and tight bounds per
 cell, built by map-side combined aggregates). Every left point keeps the cells that can
 still hold one of its k nearest points: a cell is dropped when its smallest possible
 distance exceeds the largest distance of enough closer points. Hot cells and far clusters
@@ -11,16 +12,22 @@ compared whole with a group of the left side.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from terralane.functions.geometry import EARTH_RADIUS, distance
+from terralane.operators.neighbor_index import PointIndex
 from terralane.session import require
 
 STEP = 2                    # levels per descent step: 4 x 4 children per cell
 FINEST = 24                 # deepest level of the pyramid
 LEAF_ROWS = 256             # a leaf cell with more rows than this is split further
 BROADCAST_ROWS = 300_000    # pyramid levels up to this many rows are broadcast
+INDEX_ROWS = 300_000        # right sides up to this many rows are broadcast as an index
+QUERY_ROWS = 8192           # left rows searched at once
 
 
 def _bounds(metric: str, x, y, x0, y0, x1, y1) -> tuple[Column, Column]:
@@ -68,12 +75,14 @@ def _pyramid_depth(points: DataFrame, n: int, k: int) -> tuple[DataFrame, int]:
 
 def knn_join(a: DataFrame, b: DataFrame, k: int = 1, max_distance: float | None = None,
              metric: str = "euclidean", a_id: str = "id", b_id: str = "id",
-             a_xy=("x", "y"), b_xy=("x", "y"), exclude_self: bool = False) -> DataFrame:
+             a_xy=("x", "y"), b_xy=("x", "y"), exclude_self: bool = False,
+             index_rows: int = INDEX_ROWS) -> DataFrame:
     """The k nearest rows of ``b`` for each row of ``a``; ties go to the lowest id.
 
     Returns ``a_id, b_id, dist, rank``. ``a_id`` must be unique. Left rows without a
     neighbour (empty right side or beyond ``max_distance``) do not appear.
-    With ``exclude_self`` a pair with equal ids is left out (self joins).
+    With ``exclude_self`` a pair with equal ids is left out (self joins). A right side of more
+    than ``index_rows`` rows takes the distributed way.
     """
     require(a, a_id, *a_xy)
     require(b, b_id, *b_xy)
@@ -86,12 +95,55 @@ def knn_join(a: DataFrame, b: DataFrame, k: int = 1, max_distance: float | None
     points = (b.select(F.col(b_id).alias("bid"), F.col(b_xy[0]).cast("double").alias("bx"),
                        F.col(b_xy[1]).cast("double").alias("by"))
               .filter(F.col("bx").isNotNull() & F.col("by").isNotNull()))
+    if index_rows > 0:
+        small = points.limit(index_rows + 1).toPandas()
+        if len(small) <= index_rows:
+            return _indexed_join(left, points, small, k, want, max_distance, metric, exclude_self)
+    return _pyramid_join(left, points, k, want, max_distance, metric, exclude_self)
+
+
+def _result_schema(left: DataFrame, points: DataFrame) -> str:
+    return f"a_id {dict(left.dtypes)['aid']}, b_id {dict(points.dtypes)['bid']}, dist double, rank int"
+
+
+def _indexed_join(left: DataFrame, points: DataFrame, small: pd.DataFrame, k: int, want: int,
+                  max_distance: float | None, metric: str, exclude_self: bool) -> DataFrame:
+    """Search a broadcast index of the whole (checked) right side."""
+    spark = left.sparkSession
+    schema = _result_schema(left, points)
+    if small.empty:
+        return spark.createDataFrame([], schema)
+    small = small.sort_values("bid", kind="stable").reset_index(drop=True)
+    index = PointIndex(small["bx"].to_numpy(float), small["by"].to_numpy(float), metric, want)
+    shared = spark.sparkContext.broadcast((index, small["bid"].to_numpy()))
+    limit = math.inf if max_distance is None else float(max_distance)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, ids = shared.value
+        for pdf in batches:
+            for i in range(0, len(pdf), QUERY_ROWS):
+                part = pdf.iloc[i:i + QUERY_ROWS]
+                dist, pos = tree.query(part["ax"].to_numpy(float), part["ay"].to_numpy(float), want, limit)
+                hit = pos >= 0
+                own = np.repeat(part["aid"].to_numpy()[:, None], want, axis=1)
+                other = ids[np.where(hit, pos, 0)]
+                if exclude_self:
+                    hit &= own != other
+                rank = np.cumsum(hit, axis=1)
+                hit &= rank <= k
+                yield pd.DataFrame({"a_id": own[hit], "b_id": other[hit], "dist": dist[hit],
+                                    "rank": rank[hit].astype("int32")})
+
+    return left.mapInPandas(run, schema)
+
+
+def _pyramid_join(left: DataFrame, points: DataFrame, k: int, want: int, max_distance: float | None,
+                  metric: str, exclude_self: bool) -> DataFrame:
+    """Descend the cell pyramid of a large right side."""
     n, x0, y0, x1, y1 = points.agg(F.count("*"), F.min("bx"), F.min("by"),
                                    F.max("bx"), F.max("by")).first()
     if n == 0:
-        return (left.filter(F.lit(False)).select(
-            F.col("aid").alias("a_id"), F.col("aid").alias("b_id"),
-            F.lit(0.0).alias("dist"), F.lit(1).alias("rank")))
+        return left.sparkSession.createDataFrame([], _result_schema(left, points))
     unit = max(x1 - x0, y1 - y0, 1e-12) * (1 + 1e-9) / 2**FINEST
     top = 2**FINEST - 1
     points = points.withColumns({

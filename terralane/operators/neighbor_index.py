@@ -1,0 +1,96 @@
+"""A small k-d tree over a broadcast point set, queried by whole Arrow batches."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from terralane.functions.geometry import EARTH_RADIUS
+
+LEAF = 32
+
+
+class PointIndex:
+    """Points in id order; a tie in distance goes to the lower position."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, metric: str, k: int):
+        self.metric = metric
+        # rows that share a coordinate: only the first k can ever be among the k nearest
+        order = np.lexsort((np.arange(len(x)), y, x))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+        group_start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        keep = order[np.arange(len(order)) - group_start < k]
+        self.pos = keep
+        self.x, self.y = x[keep], y[keep]
+        self.nodes: list[tuple] = []          # (x0, y0, x1, y1, left, right, start, end)
+        perm = np.arange(len(keep))
+        todo = [(0, len(keep), None)]
+        while todo:
+            start, end, parent = todo.pop()
+            part = perm[start:end]
+            px, py = self.x[part], self.y[part]
+            box = (px.min(), py.min(), px.max(), py.max())
+            me = len(self.nodes)
+            self.nodes.append([*box, -1, -1, start, end])
+            if parent is not None:
+                self.nodes[parent][4 if self.nodes[parent][4] < 0 else 5] = me
+            if end - start > LEAF:
+                values = px if box[2] - box[0] >= box[3] - box[1] else py
+                half = (end - start) // 2
+                perm[start:end] = part[np.argpartition(values, half)]
+                todo += [(start + half, end, me), (start, start + half, me)]
+            else:
+                perm[start:end] = part[np.argsort(self.pos[part])]
+        self.x, self.y, self.pos = self.x[perm], self.y[perm], self.pos[perm]
+
+    def _box_distance(self, node, x, y):
+        gap_x = np.maximum(0.0, np.maximum(node[0] - x, x - node[2]))
+        gap_y = np.maximum(0.0, np.maximum(node[1] - y, y - node[3]))
+        if self.metric == "euclidean":
+            return np.sqrt(gap_x * gap_x + gap_y * gap_y) * (1 - 1e-12)
+        far_x = np.maximum(np.abs(x - node[0]), np.abs(x - node[2]))
+        gap_x = np.radians(np.clip(np.minimum(gap_x, 360.0 - far_x), 0.0, 90.0))
+        meridian = np.arcsin(np.minimum(1.0, np.abs(np.cos(np.radians(y))) * np.sin(gap_x)))
+        return np.maximum(np.radians(gap_y), meridian) * (EARTH_RADIUS * (1 - 1e-9))
+
+    def _distance(self, ax, ay, bx, by):
+        if self.metric == "euclidean":
+            return np.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+        ax, ay, bx, by = (np.radians(v) for v in (ax, ay, bx, by))
+        s1, s2 = np.sin((by - ay) / 2), np.sin((bx - ax) / 2)
+        h = s1 * s1 + np.cos(ay) * np.cos(by) * s2 * s2
+        return 2.0 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+    def query(self, x: np.ndarray, y: np.ndarray, k: int, limit: float):
+        """Distances and positions of the k nearest per query; position -1 where none."""
+        none = np.iinfo(np.int64).max
+        best = np.full((len(x), k), limit)
+        who = np.full((len(x), k), none)
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            at, q = stack.pop()
+            node = self.nodes[at]
+            q = q[self._box_distance(node, x[q], y[q]) <= best[q, -1]]
+            if not len(q):
+                continue
+            if node[4] >= 0:
+                a, b = self.nodes[node[4]], self.nodes[node[5]]
+                near_a = self._box_distance(a, x[q], y[q]) <= self._box_distance(b, x[q], y[q])
+                # last in, first out: every query goes to its nearer child first
+                stack += [(node[5], q[near_a]), (node[4], q[~near_a]),
+                          (node[4], q[near_a]), (node[5], q[~near_a])]
+                continue
+            s, e = node[6], node[7]
+            d = self._distance(x[q, None], y[q, None], self.x[None, s:e], self.y[None, s:e])
+            if k == 1:
+                col = d.argmin(axis=1)
+                dist, pos = d[np.arange(len(q)), col], self.pos[s:e][col]
+                better = (dist < best[q, 0]) | ((dist == best[q, 0]) & (pos < who[q, 0]))
+                best[q[better], 0], who[q[better], 0] = dist[better], pos[better]
+            else:
+                all_d = np.concatenate([best[q], d], axis=1)
+                all_p = np.concatenate([who[q], np.broadcast_to(self.pos[s:e], d.shape)], axis=1)
+                pick = np.lexsort((all_p, all_d), axis=-1)[:, :k]
+                best[q] = np.take_along_axis(all_d, pick, axis=1)
+                who[q] = np.take_along_axis(all_p, pick, axis=1)
+        return best, np.where(who == none, -1, who)

@@ -234,12 +234,13 @@ def _(fx):
 
 @query("candidate_sites_t15", f"""
 with recursive {FREE}, e as (select a.r*500+a.c as i, b.r*500+b.c as j from ok a join ok b on abs(a.r-b.r)+abs(a.c-b.c)=1),
-reach as (select id as i, id as j from ok union select reach.i, e.j from reach join e on e.i=reach.j),
-comp as (select i as id, min(j) as component from reach group by i),
+lab(id, m) using key (id) as (select id, id from ok union
+ (select e.i, min(l.m) from lab l join e on e.j=l.id join recurring.lab q on q.id=e.i where l.m<q.m group by e.i)),
+comp as (select id, m as component from lab),
 m as (select comp.component, ok.r, ok.c, count(*) over (partition by component)*400.0e0 as part_area,
  min(r) over (partition by component) as r0, max(r) over (partition by component) as r1,
  min(c) over (partition by component) as c0, max(c) over (partition by component) as c1 from comp join ok on ok.id=comp.id),
-p as (select component, case when part_area>100000 then least(4,(c-c0)*5//(c1-c0+1))*5+least(4,(r-r0)*5//(r1-r0+1)) else 0 end as piece, r, c
+p as (select component, case when part_area>100000 then least(4,(c-c0)*5//(c1-c0+1))*5+least(4,(r-r0)*5//(r1-r0+1)) else 0 end::bigint as piece, r, c
  from m where part_area>5000)
 select (component//500)*4294967296+component%500 as component, piece, count(*) as cells, count(*)*400.0e0 as area,
  round((avg(c)+0.5e0)*20,4) as x, round((avg(r)+0.5e0)*20,4) as y
