@@ -22,18 +22,21 @@ TILE = 256
 
 # ---------------------------------------------------------------- tile engine
 
-def focal(dem: DataFrame, fn: Callable, outputs: list[str], halo: int = 1, tile: int = TILE) -> DataFrame:
+def focal(dem: DataFrame, fn: Callable, outputs: list[str], halo: int = 1, tile: int = TILE,
+          also: str | None = None) -> DataFrame:
     """Run ``fn(z, present) -> {name: array}`` per tile and return r, c, v and the outputs.
 
     ``z`` is the tile with its halo (NaN for nodata and for missing cells), ``present`` tells
-    which cells exist, so that ``fn`` can tell a raster edge from nodata. NaN becomes null.
+    which cells exist, so that ``fn`` can tell a raster edge from nodata. With ``also`` a
+    second value column is passed as a third array. NaN becomes null.
     """
     require(dem, "r", "c", "v")
+    second = [also] if also else []
 
     def tiles(axis):
         return F.sequence(F.floor((F.col(axis) - halo) / tile), F.floor((F.col(axis) + halo) / tile))
     spread = (dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"),
-                         F.col("v").cast("double").alias("v"))
+                         F.col("v").cast("double").alias("v"), *second)
               .withColumn("tr", F.explode(tiles("r"))).withColumn("tc", F.explode(tiles("c"))))
     side = tile + 2 * halo
     schema = "r long, c long, v double, " + ", ".join(f"{o} double" for o in outputs)
@@ -45,8 +48,13 @@ def focal(dem: DataFrame, fn: Callable, outputs: list[str], halo: int = 1, tile:
         present = np.zeros((side, side), dtype=bool)
         z[ri, ci] = pdf["v"].to_numpy(dtype=float)
         present[ri, ci] = True
+        given = [z, present]
+        if also:
+            other = np.full((side, side), np.nan)
+            other[ri, ci] = pdf[also].to_numpy(dtype=float)
+            given.append(other)
         with np.errstate(divide="ignore", invalid="ignore"):
-            result = fn(z, present)
+            result = fn(*given)
         own = (ri >= halo) & (ri < halo + tile) & (ci >= halo) & (ci < halo + tile)
         data = {"r": pdf["r"][own].to_numpy(), "c": pdf["c"][own].to_numpy(),
                 "v": z[ri[own], ci[own]]}

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from terralane.plans import areas, joins, layers, rasters, statistics, terrains  # noqa: F401
+from terralane.plans import areas, joins, layers, networks, rasters, statistics, terrains  # noqa: F401
 from terralane.plans.registry import ORACLES, QUERIES  # noqa: F401
