@@ -156,24 +156,26 @@ def on_boundary(geom: Column, x: Column, y: Column) -> Column:
     return F.exists(edges(geom), lambda e: on_edge(e, x, y))
 
 
-def inside_even_odd(geom: Column, x: Column, y: Column) -> Column:
+def locate(edge_list: Column, x: Column, y: Column) -> Column:
+    """0 outside, 1 inside, 2 on the boundary; one pass over the edges."""
     def step(acc, e):
         px, py, qx, qy = e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]
-        straddles = (py > y) != (qy > y)
         # straddling edges have py != qy, so the divisor is never zero there
-        hit = x < (qx - px) * (y - py) / F.when(qy != py, qy - py).otherwise(F.lit(1.0)) + px
-        return F.when(straddles & hit, ~acc).otherwise(acc)
-    return F.aggregate(edges(geom), F.lit(False), step)
+        hit = (((py > y) != (qy > y))
+               & (x < (qx - px) * (y - py) / F.when(qy != py, qy - py).otherwise(F.lit(1.0)) + px))
+        return (F.when(acc == 2, F.lit(2)).when(on_edge(e, x, y), F.lit(2))
+                .when(hit, F.lit(1) - acc).otherwise(acc))
+    return F.aggregate(edge_list, F.lit(0), step)
 
 
 def covers_point(geom: Column, x: Column, y: Column) -> Column:
     """Point inside or on the boundary of a polygon."""
-    return on_boundary(geom, x, y) | inside_even_odd(geom, x, y)
+    return locate(edges(geom), x, y) > 0
 
 
 def contains_point(geom: Column, x: Column, y: Column) -> Column:
     """Point strictly inside a polygon."""
-    return ~on_boundary(geom, x, y) & inside_even_odd(geom, x, y)
+    return locate(edges(geom), x, y) == 1
 
 
 def _orient(e: Column, p: Column) -> Column:
@@ -193,45 +195,67 @@ def segments_touch(e: Column, f: Column) -> Column:
             | on_edge(f, e["p"]["x"], e["p"]["y"]) | on_edge(f, e["q"]["x"], e["q"]["y"]))
 
 
+def prepare(geom: Column) -> Column:
+    """Vertices and edges of a geometry, computed once per feature before a join."""
+    return F.struct(geom["type"].alias("type"), vertices(geom).alias("v"), edges(geom).alias("e"))
+
+
 def _any_edge_pair(a: Column, b: Column, test) -> Column:
-    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: test(e, f)))
+    return F.exists(a["e"], lambda e: F.exists(b["e"], lambda f: test(e, f)))
 
 
-def _probe_points(geom: Column) -> Column:
+def _probe_points(a: Column) -> Column:
     """Vertices and edge midpoints."""
-    mids = F.transform(edges(geom), lambda e: xy((e["p"]["x"] + e["q"]["x"]) / 2,
-                                                 (e["p"]["y"] + e["q"]["y"]) / 2))
-    return F.concat(vertices(geom), mids)
+    mids = F.transform(a["e"], lambda e: xy((e["p"]["x"] + e["q"]["x"]) / 2,
+                                            (e["p"]["y"] + e["q"]["y"]) / 2))
+    return F.concat(a["v"], mids)
 
 
 def is_polygon(geom: Column) -> Column:
     return geom["type"].contains("Polygon")
 
 
+def _covers(a: Column, p: Column) -> Column:
+    return locate(a["e"], p["x"], p["y"]) > 0
+
+
+def _contains(a: Column, p: Column) -> Column:
+    return locate(a["e"], p["x"], p["y"]) == 1
+
+
+def _on(a: Column, p: Column) -> Column:
+    return F.exists(a["e"], lambda e: on_edge(e, p["x"], p["y"]))
+
+
+def _middle(a: Column) -> Column:
+    """Mean of the vertices: an interior point of a convex polygon."""
+    n = F.size(a["v"])
+    return xy(F.aggregate(a["v"], F.lit(0.0), lambda s, p: s + p["x"]) / n,
+              F.aggregate(a["v"], F.lit(0.0), lambda s, p: s + p["y"]) / n)
+
+
 def intersects(a: Column, b: Column) -> Column:
-    return (_any_edge_pair(a, b, segments_touch)
-            | (is_polygon(b) & F.exists(vertices(a), lambda p: covers_point(b, p["x"], p["y"])))
-            | (is_polygon(a) & F.exists(vertices(b), lambda p: covers_point(a, p["x"], p["y"])))
-            | (a["type"].contains("Point") & F.exists(
-                vertices(a), lambda p: on_boundary(b, p["x"], p["y"])))
-            | (b["type"].contains("Point") & F.exists(
-                vertices(b), lambda p: on_boundary(a, p["x"], p["y"])))
-            | F.arrays_overlap(vertices(a), vertices(b)))
+    """Predicates take prepared geometries; cheap tests come first."""
+    return ((is_polygon(b) & F.exists(a["v"], lambda p: _covers(b, p)))
+            | (is_polygon(a) & F.exists(b["v"], lambda p: _covers(a, p)))
+            | _any_edge_pair(a, b, segments_touch)
+            | (a["type"].contains("Point") & F.exists(a["v"], lambda p: _on(b, p)))
+            | (b["type"].contains("Point") & F.exists(b["v"], lambda p: _on(a, p)))
+            | F.arrays_overlap(a["v"], b["v"]))
 
 
 def _interiors_meet(a: Column, b: Column) -> Column:
-    same = is_polygon(a) & is_polygon(b) & F.exists(
-        F.array(centroid(a)), lambda p: contains_point(a, p["x"], p["y"])
-        & contains_point(b, p["x"], p["y"]))
-    return (_any_edge_pair(a, b, segments_cross)
-            | (is_polygon(b) & F.exists(_probe_points(a), lambda p: contains_point(b, p["x"], p["y"])))
-            | (is_polygon(a) & F.exists(_probe_points(b), lambda p: contains_point(a, p["x"], p["y"])))
-            | same)
+    both = is_polygon(a) & is_polygon(b)
+    return ((is_polygon(b) & F.exists(_probe_points(a), lambda p: _contains(b, p)))
+            | (is_polygon(a) & F.exists(_probe_points(b), lambda p: _contains(a, p)))
+            | _any_edge_pair(a, b, segments_cross)
+            | (both & F.exists(F.array(_middle(a), _middle(b)),
+                               lambda p: _contains(a, p) & _contains(b, p))))
 
 
 def within(a: Column, b: Column) -> Column:
     """All of a lies in b and the interiors meet."""
-    return (F.forall(_probe_points(a), lambda p: covers_point(b, p["x"], p["y"]))
+    return (F.forall(_probe_points(a), lambda p: _covers(b, p))
             & ~_any_edge_pair(a, b, segments_cross) & _interiors_meet(a, b))
 
 
@@ -242,8 +266,8 @@ def touches(a: Column, b: Column) -> Column:
 def crosses(a: Column, b: Column) -> Column:
     """Lines that cross, or a line partly inside and partly outside a polygon."""
     def leaves(line, poly):
-        inside = F.exists(_probe_points(line), lambda p: contains_point(poly, p["x"], p["y"]))
-        outside = F.exists(_probe_points(line), lambda p: ~covers_point(poly, p["x"], p["y"]))
+        inside = F.exists(_probe_points(line), lambda p: _contains(poly, p))
+        outside = F.exists(_probe_points(line), lambda p: ~_covers(poly, p))
         return _any_edge_pair(line, poly, segments_cross) | (inside & outside)
     line_a, line_b = a["type"].contains("Line"), b["type"].contains("Line")
     return (F.when(line_a & line_b, _any_edge_pair(a, b, segments_cross))
@@ -274,23 +298,24 @@ def point_segment_distance(x, y, px, py, qx, qy) -> Column:
 def clip_halfplane(path: Column, ax, ay, bx, by, keep_left: bool = True) -> Column:
     """Part of an open vertex loop on one side of the directed line a→b."""
     sign = 1.0 if keep_left else -1.0
+    sided = F.transform(path, lambda p: F.struct(
+        p["x"].alias("x"), p["y"].alias("y"),
+        (_cross(ax, ay, bx, by, p["x"], p["y"]) * F.lit(sign)).alias("s")))
 
-    def side(p):
-        return _cross(ax, ay, bx, by, p["x"], p["y"]) * F.lit(sign)
-
-    def step(p, q):
-        sp, sq = side(p), side(q)
-        t = sp / F.when(sp == sq, F.lit(1.0)).otherwise(sp - sq)
-        cut_at = xy(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+    def joined(loop):
         none = F.array().cast(PATH_TYPE)
-        return (F.when((sp >= 0) & (sq >= 0), F.array(q))
-                .when((sp >= 0) & (sq < 0), F.when(sp > 0, F.array(cut_at)).otherwise(none))
-                .when((sp < 0) & (sq >= 0), F.when(sq > 0, F.array(cut_at, q)).otherwise(F.array(q)))
-                .otherwise(none))
-
-    following = F.concat(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))),
-                         F.slice(path, 1, 1))
-    return F.flatten(F.zip_with(path, following, step))
+
+        def step(p, q):
+            t = p["s"] / (p["s"] - q["s"])
+            cut_at = xy(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            end = xy(q["x"], q["y"])
+            return (F.when(q["s"] >= 0, F.when((p["s"] < 0) & (q["s"] > 0), F.array(cut_at, end))
+                           .otherwise(F.array(end)))
+                    .otherwise(F.when(p["s"] > 0, F.array(cut_at)).otherwise(none)))
+        turned = F.concat(F.slice(loop, 2, F.greatest(F.size(loop) - 1, F.lit(0))), F.slice(loop, 1, 1))
+        return F.flatten(F.zip_with(loop, turned, step))
+    # a one-element array binds the sides, so that they are computed once
+    return F.flatten(F.transform(F.array(sided), joined))
 
 
 def clip_convex(ring: Column, clip_ring: Column) -> Column:

@@ -102,6 +102,28 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, boundary: bool =
     return pairs
 
 
+def related_pairs(a: DataFrame, b: DataFrame, predicate: str) -> DataFrame:
+    """a_id, b_id of the feature pairs that meet a predicate.
+
+    Vertices and edges are unfolded once per feature. Two features that are their own
+    bounding boxes are decided by comparing the boxes.
+    """
+    def slim(df):
+        bounds = [F.col(c) for c in BOX]
+        flat = G.is_polygon(F.col("geom")) & G.is_own_box(F.col("geom"), *bounds)
+        return df.select("id", G.prepare(F.col("geom")).alias("g"), flat.alias("flat"), *BOX)
+    pairs = bbox_pairs(slim(a), slim(b))
+    ax0, ay0, ax1, ay1 = (F.col("a_" + c) for c in BOX)
+    bx0, by0, bx1, by1 = (F.col("b_" + c) for c in BOX)
+    overlap = (ax0 < bx1) & (bx0 < ax1) & (ay0 < by1) & (by0 < ay1)
+    boxes = {"intersects": F.lit(True), "crosses": F.lit(False), "touches": ~overlap,
+             "within": (ax0 >= bx0) & (ax1 <= bx1) & (ay0 >= by0) & (ay1 <= by1),
+             "contains": (bx0 >= ax0) & (bx1 <= ax1) & (by0 >= ay0) & (by1 <= ay1)}[predicate]
+    exact = G.PREDICATES[predicate](F.col("a_g"), F.col("b_g"))
+    both = F.col("a_flat") & F.col("b_flat")
+    return pairs.filter(F.when(both, boxes).otherwise(exact)).select("a_id", "b_id")
+
+
 def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects",
                  how: str = "inner", suffixes=("target", "join"), a_id: str = "id",
                  b_id: str = "id") -> DataFrame:
@@ -116,10 +138,7 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects",
         raise ValueError("how must be inner, left, right or full")
     require(a, a_id, "geom", *BOX)
     require(b, b_id, "geom", *BOX)
-    slim_a = a.select(F.col(a_id).alias("id"), "geom", *BOX)
-    slim_b = b.select(F.col(b_id).alias("id"), "geom", *BOX)
-    hit = G.PREDICATES[predicate](F.col("a_geom"), F.col("b_geom"))
-    pairs = (bbox_pairs(slim_a, slim_b).filter(hit)
+    pairs = (related_pairs(a.withColumnRenamed(a_id, "id"), b.withColumnRenamed(b_id, "id"), predicate)
              .select(F.col("a_id").alias("_a"), F.col("b_id").alias("_b")))
     both = set(a.columns) & set(b.columns)
     left = a.select([F.col(c).alias(f"{c}_{suffixes[0]}" if c in both else c) for c in a.columns])
@@ -156,9 +175,8 @@ def select_by_location(df: DataFrame, ref: DataFrame, relation: str = "intersect
     """Rows of a point or feature layer that relate to any reference feature."""
     if "geom" in df.columns:
         require(ref, "geom", *BOX)
-        slim_a = df.select(F.col(key).alias("id"), "geom", *BOX)
-        pairs = bbox_pairs(slim_a, ref.select("geom", *BOX)).filter(
-            G.PREDICATES[relation](F.col("a_geom"), F.col("b_geom")))
+        require(ref, "geom", *BOX)
+        pairs = related_pairs(df.withColumnRenamed(key, "id"), ref.withColumn("id", F.lit(0)), relation)
     else:
         cols = [c for c in ("geom",) if c in ref.columns]
         pairs = points_in_polygons(df.select(F.col(key).alias("id"), "x", "y"),

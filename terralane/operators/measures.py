@@ -45,7 +45,7 @@ def bbox_filter(df: DataFrame, bbox, exact: bool = False) -> DataFrame:
         out = df.filter((F.col("minx") <= x1) & (F.col("maxx") >= x0)
                         & (F.col("miny") <= y1) & (F.col("maxy") >= y0))
         if exact:
-            out = out.filter(G.intersects(F.col("geom"), G.box_geometry(x0, y0, x1, y1)))
+            out = out.filter(G.intersects(G.prepare(F.col("geom")), G.prepare(G.box_geometry(x0, y0, x1, y1))))
         return out
     return df.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 

@@ -148,7 +148,7 @@ def buffer_cells(df: DataFrame, d: float, cell: float, dissolve: bool = False) -
     x, y = _center("cx", cell), _center("cy", cell)
     near = F.exists(G.edges(F.col("geom")), lambda e: G.point_segment_distance(
         x, y, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]) <= d)
-    inside = G.is_polygon(F.col("geom")) & G.inside_even_odd(F.col("geom"), x, y)
+    inside = G.is_polygon(F.col("geom")) & G.covers_point(F.col("geom"), x, y)
     cells = _grid_of(df, cell, d).filter(near | inside).select(*keep, "cx", "cy")
     return cells.select("cx", "cy").distinct() if dissolve else cells
 

@@ -40,10 +40,14 @@ def _cells_in(cells: DataFrame, polys: DataFrame, grid: dict, all_touched: bool)
         hx, hy = abs(float(grid["dx"])) / 2, abs(float(grid["dy"])) / 2
         boxes = centers.withColumns({"minx": F.col("x") - hx, "maxx": F.col("x") + hx,
                                      "miny": F.col("y") - hy, "maxy": F.col("y") + hy})
+        if "geom" in polys.columns:
+            polys = polys.withColumns({
+                "_box": G.is_own_box(F.col("geom"), *[F.col(b) for b in ("minx", "miny", "maxx", "maxy")]),
+                "_prep": G.prepare(F.col("geom"))})
         hits = bbox_pairs(boxes, polys)
         if "geom" in polys.columns:
             box = G.box_geometry(F.col("a_minx"), F.col("a_miny"), F.col("a_maxx"), F.col("a_maxy"))
-            hits = hits.filter(G.intersects(box, F.col("b_geom")))
+            hits = hits.filter(F.col("b__box") | G.intersects(G.prepare(box), F.col("b__prep")))
     return hits.select(F.col("a_r").alias("r"), F.col("a_c").alias("c")).distinct()
 
 

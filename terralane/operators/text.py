@@ -47,8 +47,9 @@ def bm25(docs: DataFrame, query: str, k: int = 5, doc_id: str = "doc_id", text:
     if not terms:
         return docs.select(doc_id).withColumn("score", F.lit(0.0)).limit(0)
     distinct = sorted(set(terms))
-    base = docs.select(doc_id, tokens(F.col(text)).alias("_t"))
-    counts = base.select(doc_id, F.size("_t").alias("_len"), *[
+    words = docs.select(doc_id, tokens(F.col(text)).alias("_w"))
+    base = words.select(doc_id, F.size("_w").alias("_len"), F.filter("_w", lambda w: w.isin(distinct)).alias("_t"))
+    counts = base.select(doc_id, "_len", *[
         F.size(F.filter("_t", _equals(t))).alias(f"_f{i}")
         for i, t in enumerate(distinct)])
     stats = counts.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+SMALL_TABLES = ("region", "nation", "supplier", "labels", "benchmark")
+
 BODIES = {
     "fx_places": """select c_custkey as id, 116.0e0 + ((c_custkey*7919)%10007)/10007.0e0 as x,
         39.5e0 + ((c_custkey*6271)%10009)/10009.0e0 as y, c_acctbal as v,
@@ -87,7 +89,11 @@ class Layers:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SMALL_TABLES or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores)      # one small file would keep all but one core idle
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
