@@ -87,14 +87,14 @@ def _(fx):
 
 
 @query("spatial_join_stats_j2", """
-select d.id, d.name, count(p.id) as n_places, round(sum(p.v),2) as total_v, round(avg(p.v),4) as mean_v
+select d.id, d.name, count(p.id) as n_places, round(sum(p.v),2) as total_v, round(avg(p.v),6) as mean_v
 from fx_districts d left join fx_places p
 on p.x>=d.minx and p.x<=d.maxx and p.y>=d.miny and p.y<=d.maxy group by d.id, d.name""")
 def _(fx):
     out = J.spatial_join_agg(boxed(fx.districts), fx.places, {
         "n_places": ("count", "*"), "total_v": ("sum", "v"), "mean_v": ("avg", "v")})
     return out.select("id", "name", "n_places", F.round("total_v", 2).alias("total_v"),
-                      F.round("mean_v", 4).alias("mean_v"))
+                      F.round("mean_v", 6).alias("mean_v"))
 
 
 @query("within_distance_join_j5", f"""

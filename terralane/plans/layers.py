@@ -231,9 +231,9 @@ def _(fx):
 
 
 @query("profile_table_a3", """
-select 'id' as "column", 'integer' as type, count(*) as row_count, 0 as null_count, round(avg(id),4) as mean,
+select 'id' as "column", 'integer' as type, count(*) as row_count, 0::bigint as null_count, round(avg(id),4) as mean,
 round(stddev_samp(id),4) as std, cast(min(id) as double) as min, cast(max(id) as double) as max from fx_pois union all
-select 'name', 'text', count(*), 0, null, null, null, null from fx_pois union all
+select 'name', 'text', count(*), 0::bigint, null, null, null, null from fx_pois union all
 select 'kind', 'integer', count(*), 0, round(avg(kind),4), round(stddev_samp(kind),4), min(kind), max(kind) from fx_pois union all
 select 'x', 'float', count(*), 0, round(avg(x),4), round(stddev_samp(x),4), min(x), max(x) from fx_pois union all
 select 'y', 'float', count(*), 0, round(avg(y),4), round(stddev_samp(y),4), min(y), max(y) from fx_pois""")
