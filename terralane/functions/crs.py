@@ -157,9 +157,13 @@ def wgs_to_gcj(lon: Column, lat: Column):
 
 
 def gcj_to_wgs(lon: Column, lat: Column):
-    dlon, dlat = _gcj_offset(lon, lat)
+    """Inverse by fixed point: the offset is taken at the estimate, not at the shifted point."""
+    x, y = lon, lat
+    for _ in range(2):
+        dlon, dlat = _gcj_offset(x, y)
+        x, y = lon - dlon, lat - dlat
     out = outside_china(lon, lat)
-    return F.when(out, lon).otherwise(lon - dlon), F.when(out, lat).otherwise(lat - dlat)
+    return F.when(out, lon).otherwise(x), F.when(out, lat).otherwise(y)
 
 
 def gcj_to_bd(lon: Column, lat: Column):

@@ -12,6 +12,7 @@ from terralane.operators.nearest import knn_join
 from terralane.session import require
 
 MIN_BOX = 1e-9              # boxes are never placed on a level finer than this
+STRETCH_SECONDS = 86_400     # time span of a track matched together
 LANDMARK_LIMIT = 10_000     # most columns or landmarks of a dense distance matrix
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -351,8 +352,16 @@ def map_match(track: DataFrame, segments: DataFrame, max_d: float,
         return first.select(F.col("a_track").alias("track"), F.col("a_id").alias("id"),
                             F.col("a_tm").alias("tm"), F.col("m.b_seg").alias("seg"),
                             F.col("m.dist").alias("dist"))
-    w = W.partitionBy("a_track").orderBy("a_tm", "a_id")
-    before = first.select(*keys, F.lag("m.b_seg").over(w).alias("prev"))
+    # a long track is split by time; the last match of the previous non-empty stretch is
+    # carried over, so one busy track never sits in a single task
+    part = F.floor(F.unix_timestamp(F.col("a_tm").cast("timestamp")) / STRETCH_SECONDS)
+    parted = first.select(*keys, part.alias("_p"), F.col("m.b_seg").alias("seg"))
+    last = parted.groupBy("a_track", "_p").agg(F.max(F.struct("a_tm", "a_id", "seg")).alias("_l"))
+    carried = last.select("a_track", "_p", F.lag("_l.seg").over(
+        W.partitionBy("a_track").orderBy("_p")).alias("_carry"))
+    w = W.partitionBy("a_track", "_p").orderBy("a_tm", "a_id")
+    before = (parted.withColumn("_lag", F.lag("seg").over(w)).join(carried, ["a_track", "_p"])
+              .select(*keys, F.coalesce("_lag", "_carry").alias("prev")))
     again = (scored.join(before, keys)
              .withColumn("cost", F.col("cost") + F.when(
                  F.col("prev").isNull() | (F.col("prev") == F.col("b_seg")), 0.0)

@@ -260,7 +260,8 @@ def test_flow_and_watershed(cells):
     assert {(r["r"], r["c"]) for r in H.watershed(direction, *pour).collect()} == through[pour]
 
 
-def test_flow_cycle_is_reported(spark):
+def test_flow_cycle_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_ROUNDS", 3)
     loop = spark.createDataFrame([(0, 0, 4), (0, 1, 64)], "r int, c int, dir int")
     with pytest.raises(RuntimeError, match="cycle"):
         H.flow_accumulation(loop)
@@ -320,3 +321,15 @@ def test_tiles_do_not_show(cells):
         assert v is None if math.isnan(gx[r, c]) or math.isnan(grid[r, c]) and v is None else v == pytest.approx(gx[r, c])
     for (r, c), v in got[1].items():
         assert v is None if math.isnan(gy[r, c]) or math.isnan(grid[r, c]) and v is None else v == pytest.approx(gy[r, c])
+
+
+def test_map_match_continuity(spark):
+    """Points closer to a parallel side road stay on the road the track is on."""
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 0.0), (2, 0.0, 1.0, 100.0, 1.0)], "seg long, px double, py double, qx double, qy double")
+    ys = [0.0, 0.45, 0.55, 0.45, 1.0, 0.55, 0.45]
+    rows = [(9, i, f"2024-01-01 {20 + i:02d}:00:00" if i < 4 else f"2024-01-02 0{i}:00:00", i * 10.0, y) for i, y in enumerate(ys)]
+    track = spark.createDataFrame(rows, "track long, id long, tm string, x double, y double").withColumn("tm", F.col("tm").cast("timestamp"))
+    plain = {r["id"]: r["seg"] for r in J.map_match(track, segs, 2.0).collect()}
+    assert [plain[i] for i in range(7)] == [1, 1, 2, 1, 2, 2, 1]
+    sticky = {r["id"]: r["seg"] for r in J.map_match(track, segs, 2.0, switch_penalty=0.3).collect()}
+    assert [sticky[i] for i in range(7)] == [1, 1, 1, 2, 2, 2, 2]
