@@ -284,6 +284,19 @@ def spectral_index(cells: DataFrame, name: str, band_map: dict[str, int] | None
     return band_math(cells, INDEX_FORMULAS[name], {**DEFAULT_BANDS, **(band_map or {})}, fill)
 
 
+def spectral_indices(cells: DataFrame, names, band_map: dict[str, int] | None = None,
+                     fill: float | None = 0.0) -> DataFrame:
+    """Several named indices as columns, from one pivot of the bands they need."""
+    unknown = [n for n in names if n not in INDEX_FORMULAS]
+    if unknown:
+        raise ValueError(f"unknown index {unknown}; use some of {sorted(INDEX_FORMULAS)}")
+    bands = {**DEFAULT_BANDS, **(band_map or {})}
+    used = {k: b for n in names for k, b in _band_names(INDEX_FORMULAS[n], bands).items()}
+    wide = pivot_bands(cells, used.values())
+    cols = {k: F.coalesce(F.col(f"b{b}"), F.lit(0.0)) for k, b in used.items()}
+    return wide.select("r", "c", *[_finite(formula(INDEX_FORMULAS[n], cols), fill).alias(n) for n in names])
+
+
 def ndvi(cells: DataFrame, nir: int = 8, red: int = 4) -> DataFrame:
     """NDVI where a zero denominator or a missing band is nodata."""
     return band_math(cells, "(N-R)/(N+R)", {"N": nir, "R": red}, fill=None, null_as_zero=False)

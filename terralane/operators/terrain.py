@@ -414,13 +414,15 @@ def cast_shadows(buildings: DataFrame, times: list, height: str = "height", mode
     sun position at lat / lon and skips times with the sun below the horizon.
     """
     require(buildings, "geom", height)
-    stamps = F.array(*[F.lit(t if isinstance(t, dt.datetime) else dt.datetime.fromisoformat(t)) for t in times])
+    # wall-clock times (UTC for the solar model), whatever the session time zone
+    stamps = F.array(*[F.lit(str(t)).cast("timestamp_ntz") for t in times])
     out = (buildings.filter(F.col(height) > 0).withColumn("time", F.explode(stamps)))
     if model == "simple":
         elevation, azimuth = simple_sun(F.col("time"))
     else:
-        azimuth, elevation = sun_angles(F.unix_timestamp("time").cast("double"), F.lit(float(lat)),
-                                        F.lit(float(lon)))
+        seconds = (F.datediff(F.to_date("time"), F.lit("1970-01-01").cast("date")) * 86400.0
+                   + F.hour("time") * 3600 + F.minute("time") * 60 + F.second("time"))
+        azimuth, elevation = sun_angles(seconds, F.lit(float(lat)), F.lit(float(lon)))
     out = out.withColumns({"sun_elevation": elevation, "sun_azimuth": azimuth})
     if model != "simple":
         out = out.filter(F.col("sun_elevation") > 0)

@@ -188,14 +188,17 @@ unnest([2.5e0*(b8-b4)/nullif(b8+6*b4-7.5e0*b2+1,0), 2.5e0*(b8-b4)/(b8+2.4e0*b4+1
 (b8-b11)/(b8+b11), (b8-b11)/(b8+b11), (b8-b5)/(b8+b5), (b8-b3)/(b8+b3), b8/b3-1, (b8-b12)/(b8+b12)]) as v from w)
 select name, count(*) as n, round(avg(coalesce(v,0)),4) as mean from i group by name""")
 def _(fx):
-    out = None
-    for name in R.INDEX_FORMULAS:
-        if name in ("NDVI", "NDWI"):
-            continue
-        part = R.spectral_index(fx.scene, name).agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
-        part = part.withColumn("name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [n for n in R.INDEX_FORMULAS if n not in ("NDVI", "NDWI")]
+    wide_table = R.spectral_indices(fx.scene, names)
+    sums = wide_table.agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("mean")) for n in names]))
+    return sums.select("n", pairs.alias("p")).select("p.name", "n", F.round("p.mean", 4).alias("mean"))
+
+
+@query("spectral_index_savi_r9", f"""
+with {wide(4, 8)} select r, c, round(1.5e0*(b8-b4)/(b8+b4+0.5e0),6) as v from w""")
+def _(fx):
+    return rounded(R.spectral_index(fx.scene, "SAVI"), 6, "v")
 
 
 @query("all_indices_r10", f"""
@@ -281,3 +284,22 @@ def _(fx):
     out = R.weighted_overlay({"height": fx.dem, "red": band(fx, 4), "flat": fx.dem.withColumn("v", F.lit(7.0))},
                              {"height": 3.0, "red": 1.0, "flat": 0.0})
     return rounded(out, 6, "v")
+
+
+@query("ndvi_change_by_district", f"""
+with {wide(3, 4, 5, 8)}, d as (select r, c, (b8-b4)/(b8+b4) as before, (b5-b3)/(b5+b3) as after, {CENTER} from w),
+k as (select *, after-before as change from d)
+select z.id, round(avg(k.change),6) as mean_change, count(k.change) as count,
+count(*) filter (where k.change>0.05) as increased, count(*) filter (where k.change<-0.05) as decreased
+from fx_districts z left join k on k.x>=z.minx and k.x<=z.maxx and k.y>=z.miny and k.y<=z.maxy group by z.id""")
+def _(fx):
+    """NDVI of two band pairs, change per cell, mean change and class counts per district."""
+    changes = R.change_detection(R.ndvi(fx.scene, 8, 4), R.ndvi(fx.scene, 5, 3), threshold=0.05)
+    zones = boxed(fx.districts)
+    means = R.zonal_stats(changes.withColumnRenamed("change", "v"), zones, GRID, stats=("mean", "count"))
+    out = means.withColumnRenamed("mean", "mean_change")
+    for kind in ("increased", "decreased"):
+        part = changes.filter(F.col("kind") == kind).withColumnRenamed("change", "v")
+        n = R.zonal_stats(part, zones, GRID, stats=("count",)).withColumnRenamed("count", kind)
+        out = out.join(n, "id")
+    return rounded(out, 6, "mean_change")
