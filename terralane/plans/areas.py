@@ -200,7 +200,7 @@ def study_cells(fx):
 
 
 STUDY = "k as (select r*500+c as id, r, c, 116.0e0+(c+0.5e0)*0.002e0 as x, 40.5e0+(r+0.5e0)*-0.002e0 as y from fx_dem)"
-FREE = f"""{STUDY}, ok as (select k.* from k where
+FREE = f"""{STUDY}, ok as materialized (select k.* from k where
  exists (select 1 from fx_pois p where sqrt(power(k.x-p.x,2)+power(k.y-p.y,2))<=0.03)
  and not exists (select 1 from fx_facilities f where sqrt(power(k.x-f.x,2)+power(k.y-f.y,2))<0.05)
  and exists (select 1 from fx_districts d where d.grp<3 and k.x between d.minx and d.maxx and k.y between d.miny and d.maxy))"""
@@ -233,7 +233,7 @@ def _(fx):
 
 
 @query("candidate_sites_t15", f"""
-with recursive {FREE}, e as (select a.r*500+a.c as i, b.r*500+b.c as j from ok a join ok b on abs(a.r-b.r)+abs(a.c-b.c)=1),
+with recursive {FREE}, e as materialized (select a.r*500+a.c as i, b.r*500+b.c as j from ok a join ok b on abs(a.r-b.r)+abs(a.c-b.c)=1),
 lab(id, m) using key (id) as (select id, id from ok union
  (select e.i, min(l.m) from lab l join e on e.j=l.id join recurring.lab q on q.id=e.i where l.m<q.m group by e.i)),
 comp as (select id, m as component from lab),

@@ -139,7 +139,7 @@ def _(fx):
 
 
 # paths from every cell downstream, then a count of the visits
-PATHS = f"""{DIRECTION}, t as (select d.r, d.c, d.r+o.dr as nr, d.c+o.dc as nc from dir d left join o on o.code=d.dir),
+PATHS = f"""{DIRECTION}, t as materialized (select d.r, d.c, d.r+o.dr as nr, d.c+o.dc as nc from dir d left join o on o.code=d.dir),
 walk as (select r as sr, c as sc, r, c from t union all
 select w.sr, w.sc, t.nr, t.nc from walk w join t on t.r=w.r and t.c=w.c and t.nr is not null)"""
 
