@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
+import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: weakref.WeakSet[SparkContext] = weakref.WeakSet()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -58,3 +63,20 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing column(s) {missing}; available: {df.columns}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of every executor, once for each context."""
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{os.path.basename(here)}_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context)
