@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import pii, quality
+from terralane.llm import bpe, pii, quality, token_count
 from terralane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,26 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_report(table(spark, folder, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
