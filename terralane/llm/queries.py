@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import bpe, pii, quality, token_count
+from terralane.llm import bpe, pii, quality, simhash_dedup, token_count
 from terralane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.simhash_components(table(spark, folder, "documents"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
