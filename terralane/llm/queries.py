@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import bpe, pii, quality, simhash_dedup, token_count
-from terralane.llm.common import table
+from terralane.llm import bpe, pii, quality, simhash_dedup, token_count, token_files
+from terralane.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,11 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, folder, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+@query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, folder, "documents"), scratch(spark, "token-files"), _tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
