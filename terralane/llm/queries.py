@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import bpe, pii, quality, simhash_dedup, token_count, token_files
+from terralane.llm import bpe, decontaminate, pii, quality, secrets, simhash_dedup, token_count, token_files
 from terralane.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_report(table(spark, folder, "documents"), scratch(spark, "token-files"), _tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -45,6 +50,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
 @query
 def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, folder, "documents"))
