@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import bpe, decontaminate, pii, quality, secrets, simhash_dedup, token_count, token_files
+from terralane.llm import bpe, decontaminate, passages, pii, quality, repeats, secrets, simhash_dedup, token_count, token_files
 from terralane.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, folder, "documents"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -63,3 +68,8 @@ def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
+
+
+@query
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, folder, "documents"))
