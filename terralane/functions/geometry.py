@@ -204,11 +204,45 @@ def _any_edge_pair(a: Column, b: Column, test) -> Column:
     return F.exists(a["e"], lambda e: F.exists(b["e"], lambda f: test(e, f)))
 
 
-def _probe_points(a: Column) -> Column:
-    """Vertices and edge midpoints."""
-    mids = F.transform(a["e"], lambda e: xy((e["p"]["x"] + e["q"]["x"]) / 2,
-                                            (e["p"]["y"] + e["q"]["y"]) / 2))
-    return F.concat(a["v"], mids)
+def _contacts(e: Column, f: Column) -> Column:
+    """Where, between 0 and 1 along e, the edge f meets it: crossings and ends of f; null elsewhere."""
+    px, py, dx, dy = e["p"]["x"], e["p"]["y"], e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+    fx, fy = f["q"]["x"] - f["p"]["x"], f["q"]["y"] - f["p"]["y"]
+    turn = dx * fy - dy * fx
+    long = dx * dx + dy * dy
+    some = F.when(turn == 0, F.lit(1.0)).otherwise(turn)
+    at = ((f["p"]["x"] - px) * fy - (f["p"]["y"] - py) * fx) / some
+    along = ((f["p"]["x"] - px) * dy - (f["p"]["y"] - py) * dx) / some
+    crossing = F.when((turn != 0) & at.between(0.0, 1.0) & along.between(0.0, 1.0), at)
+
+    def end(p):
+        return F.when(on_edge(e, p["x"], p["y"]) & (long > 0), ((p["x"] - px) * dx + (p["y"] - py) * dy)
+                      / F.when(long > 0, long).otherwise(F.lit(1.0)))
+    return F.array(crossing, end(f["p"]), end(f["q"]))
+
+
+def _probe_points(a: Column, b: Column) -> Column:
+    """Vertices of a, and the middle of every piece that the edges of b cut its edges into."""
+    def middles(e):
+        met = F.flatten(F.transform(b["e"], lambda f: _contacts(e, f)))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(met, lambda t: t.isNotNull()))))
+        halves = F.transform(F.array(cuts), lambda c: F.zip_with(
+            F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda s, t: (s + t) / 2))
+        return F.transform(F.flatten(halves), lambda t: xy(e["p"]["x"] + t * (e["q"]["x"] - e["p"]["x"]),
+                                                           e["p"]["y"] + t * (e["q"]["y"] - e["p"]["y"])))
+    return F.concat(a["v"], F.flatten(F.transform(a["e"], middles)))
+
+
+def _along(a: Column, p: Column) -> Column:
+    """On an edge of a, but for rounding of a point computed on another edge."""
+    def close(e):
+        dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        size = F.abs(dx) + F.abs(dy)
+        slack = size * 1e-12
+        return ((F.abs(_cross(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"], p["x"], p["y"])) <= size * size * 1e-12)
+                & p["x"].between(F.least(e["p"]["x"], e["q"]["x"]) - slack, F.greatest(e["p"]["x"], e["q"]["x"]) + slack)
+                & p["y"].between(F.least(e["p"]["y"], e["q"]["y"]) - slack, F.greatest(e["p"]["y"], e["q"]["y"]) + slack))
+    return F.exists(a["e"], close)
 
 
 def is_polygon(geom: Column) -> Column:
@@ -216,11 +250,11 @@ def is_polygon(geom: Column) -> Column:
 
 
 def _covers(a: Column, p: Column) -> Column:
-    return locate(a["e"], p["x"], p["y"]) > 0
+    return (locate(a["e"], p["x"], p["y"]) > 0) | _along(a, p)
 
 
 def _contains(a: Column, p: Column) -> Column:
-    return locate(a["e"], p["x"], p["y"]) == 1
+    return (locate(a["e"], p["x"], p["y"]) == 1) & ~_along(a, p)
 
 
 def _on(a: Column, p: Column) -> Column:
@@ -228,10 +262,16 @@ def _on(a: Column, p: Column) -> Column:
 
 
 def _middle(a: Column) -> Column:
-    """Mean of the vertices: an interior point of a convex polygon."""
-    n = F.size(a["v"])
-    return xy(F.aggregate(a["v"], F.lit(0.0), lambda s, p: s + p["x"]) / n,
-              F.aggregate(a["v"], F.lit(0.0), lambda s, p: s + p["y"]) / n)
+    """An interior point of a polygon: in the first inside span of a line between its two lowest vertex heights."""
+    heights = F.array_sort(F.array_distinct(F.transform(a["v"], lambda p: p["y"])))
+    level = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
+
+    def span(y):
+        met = F.filter(a["e"], lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+        xs = F.array_sort(F.transform(met, lambda e: e["p"]["x"] + (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"])
+                                      / F.when(e["q"]["y"] != e["p"]["y"], e["q"]["y"] - e["p"]["y"]).otherwise(F.lit(1.0))))
+        return F.transform(F.array(xs), lambda x: xy((F.get(x, F.lit(0)) + F.get(x, F.lit(1))) / 2, y))
+    return F.get(F.flatten(F.transform(F.array(level), span)), F.lit(0))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -246,17 +286,16 @@ def intersects(a: Column, b: Column) -> Column:
 
 def _interiors_meet(a: Column, b: Column) -> Column:
     both = is_polygon(a) & is_polygon(b)
-    return ((is_polygon(b) & F.exists(_probe_points(a), lambda p: _contains(b, p)))
-            | (is_polygon(a) & F.exists(_probe_points(b), lambda p: _contains(a, p)))
-            | _any_edge_pair(a, b, segments_cross)
-            | (both & F.exists(F.array(_middle(a), _middle(b)),
-                               lambda p: _contains(a, p) & _contains(b, p))))
+    return (_any_edge_pair(a, b, segments_cross)
+            | (both & F.coalesce(F.exists(F.array(_middle(a), _middle(b)), lambda p: _contains(a, p) & _contains(b, p)), F.lit(False)))
+            | (is_polygon(b) & F.exists(_probe_points(a, b), lambda p: _contains(b, p)))
+            | (is_polygon(a) & F.exists(_probe_points(b, a), lambda p: _contains(a, p))))
 
 
 def within(a: Column, b: Column) -> Column:
     """All of a lies in b and the interiors meet."""
-    return (F.forall(_probe_points(a), lambda p: _covers(b, p))
-            & ~_any_edge_pair(a, b, segments_cross) & _interiors_meet(a, b))
+    return (~_any_edge_pair(a, b, segments_cross) & F.forall(_probe_points(a, b), lambda p: _covers(b, p))
+            & _interiors_meet(a, b))
 
 
 def touches(a: Column, b: Column) -> Column:
@@ -266,8 +305,8 @@ def touches(a: Column, b: Column) -> Column:
 def crosses(a: Column, b: Column) -> Column:
     """Lines that cross, or a line partly inside and partly outside a polygon."""
     def leaves(line, poly):
-        inside = F.exists(_probe_points(line), lambda p: _contains(poly, p))
-        outside = F.exists(_probe_points(line), lambda p: ~_covers(poly, p))
+        inside = F.exists(_probe_points(line, poly), lambda p: _contains(poly, p))
+        outside = F.exists(_probe_points(line, poly), lambda p: ~_covers(poly, p))
         return _any_edge_pair(line, poly, segments_cross) | (inside & outside)
     line_a, line_b = a["type"].contains("Line"), b["type"].contains("Line")
     return (F.when(line_a & line_b, _any_edge_pair(a, b, segments_cross))

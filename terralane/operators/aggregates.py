@@ -31,18 +31,20 @@ def type_label(dtype: T.DataType) -> str:
     return "unknown"
 
 
-def summarize(df: DataFrame, by: str, stats: dict[str, str]) -> DataFrame:
-    """Group summary; ``stats`` maps a column to a function name."""
-    require(df, by, *stats)
+def summarize(df: DataFrame, by: str, stats: dict[str, str], order: str | None = None) -> DataFrame:
+    """Group summary; ``stats`` maps a column to a function name. ``first`` is the value at the least ``order``."""
+    require(df, by, *stats, *([order] if order else []))
     allowed = ("sum", "avg", "mean", "min", "max", "count", "stddev", "stddev_pop", "first",
                "count_distinct")
     bad = [f for f in stats.values() if f not in allowed]
     if bad:
         raise ValueError(f"unknown statistic {bad}; use one of {allowed}")
+    if "first" in stats.values() and order is None:
+        raise ValueError("first needs an order column")
 
     def agg(col, fn):
         if fn == "first":
-            return F.min(col)
+            return F.min_by(col, order)
         return getattr(F, fn)(F.col(col))
     return df.groupBy(by).agg(*[agg(c, f).alias(f"{c}_{f}") for c, f in stats.items()])
 

@@ -173,15 +173,29 @@ def spatial_join_agg(target: DataFrame, points: DataFrame, stats: dict[str, tupl
 
 def select_by_location(df: DataFrame, ref: DataFrame, relation: str = "intersects",
                        key: str = "id") -> DataFrame:
-    """Rows of a point or feature layer that relate to any reference feature."""
+    """Rows of a point or feature layer that relate to any reference feature.
+
+    A point intersects a polygon that covers it, is within one that holds it in its interior, and touches
+    one on whose rim it lies; it contains and crosses none.
+    """
+    if relation not in G.PREDICATES:
+        raise ValueError(f"unknown relation {relation!r}; use one of {sorted(G.PREDICATES)}")
+    require(df, key)
+    require(ref, *BOX)
     if "geom" in df.columns:
-        require(ref, "geom", *BOX)
-        require(ref, "geom", *BOX)
+        require(ref, "geom")
         pairs = related_pairs(df.withColumnRenamed(key, "id"), ref.withColumn("id", F.lit(0)), relation)
     else:
+        if relation in ("contains", "crosses"):
+            return df.filter(F.lit(False))
         cols = [c for c in ("geom",) if c in ref.columns]
         pairs = points_in_polygons(df.select(F.col(key).alias("id"), "x", "y"),
-                                   ref.select(*cols, *BOX), boundary=relation == "intersects")
+                                   ref.select(*cols, *BOX), boundary=relation != "within")
+        if relation == "touches":
+            x, y = F.col("a_x"), F.col("a_y")
+            inside = (G.contains_point(F.col("b_geom"), x, y) if cols else
+                      (x > F.col("b_minx")) & (x < F.col("b_maxx")) & (y > F.col("b_miny")) & (y < F.col("b_maxy")))
+            pairs = pairs.filter(~inside)
     return df.join(pairs.select(F.col("a_id").alias(key)), key, "left_semi")
 
 

@@ -195,7 +195,7 @@ def viewshed(dem: DataFrame, row: int, col: int, height: float = 1.7, threshold:
     """Visible flag per cell from an observer cell.
 
     By default a cell is visible when its elevation angle exceeds ``threshold``. With
-    ``line_of_sight`` the angle must also exceed that of every nearer cell on the same ray.
+    ``line_of_sight`` the angle must reach that of every nearer cell that covers the ray to its centre.
     """
     seen = dem.filter((F.col("r") == row) & (F.col("c") == col)).select("v").first()
     if seen is None:
@@ -209,14 +209,18 @@ def viewshed(dem: DataFrame, row: int, col: int, height: float = 1.7, threshold:
     if not line_of_sight:
         shown = own | (F.col("angle") > threshold)
     else:
-        # a ray is about one cell wide at the raster edge
+        # rays are half a cell apart at the raster edge; a near cell is wide and covers many of them
         far = out.agg(F.max("_d")).first()[0]
-        rays = max(8, int(2 * math.pi * far))
-        out = out.withColumn("_ray", F.floor((F.atan2(dc.cast("double"), dr.cast("double")) + math.pi)
-                                             / (2 * math.pi) * rays) % rays)
-        w = W.partitionBy("_ray").orderBy("_d", "r", "c").rowsBetween(W.unboundedPreceding, -1)
+        rays = max(8, int(4 * math.pi * far))
+        turn = (F.atan2(dc.cast("double"), dr.cast("double")) + math.pi) / (2 * math.pi) * rays
+        wide = F.asin(F.least(F.lit(1.0), F.lit(0.5) / F.col("_d"))) / (2 * math.pi) * rays
+        middle = F.floor(turn)
+        out = out.withColumn("_mid", middle).withColumn(
+            "_ray", F.explode(F.sequence(F.least(F.ceil(turn - wide), middle), F.greatest(F.floor(turn + wide), middle))))
+        w = W.partitionBy(F.pmod("_ray", F.lit(rays))).orderBy((dr * dr + dc * dc).cast("long")).rangeBetween(W.unboundedPreceding, -1)
         nearer = F.max(F.when(~own, F.col("angle"))).over(w)
-        shown = own | nearer.isNull() | (F.col("angle") >= nearer)
+        out = out.withColumn("_nearer", nearer).filter(F.col("_ray") == F.col("_mid"))
+        shown = own | F.col("_nearer").isNull() | (F.col("angle") >= F.col("_nearer"))
     return out.select("r", "c", F.when(F.col("v").isNotNull() & shown, 1).otherwise(0).alias("visible"))
 
 

@@ -129,9 +129,9 @@ def split_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long document never becomes a group to gather.
     """
     require(docs, doc_id, text, source)
-    # a mark before every heading line, then one split
-    marked = F.regexp_replace(F.col(text), "(?m)^(#{1,3} )", "\u0001$1")
-    parts = F.transform(F.split(marked, "\u0001"), lambda p, i: F.struct(i.alias("section"), p.alias("body")))
+    # split before every heading line; a heading at the very start leaves no part before it
+    shift = F.when(F.col(text).rlike("^#{1,3} "), 1).otherwise(0)
+    parts = F.transform(F.split(text, "(?m)(?=^#{1,3} )"), lambda p, i: F.struct((i + shift).alias("section"), p.alias("body")))
     out = docs.select(doc_id, source, F.explode(parts).alias("p"))
     first_line = F.regexp_extract("p.body", "^#{1,3} ([^\n]*)", 1)
     body = F.regexp_replace("p.body", "^#{1,3} [^\n]*\n?", "")

@@ -244,7 +244,7 @@ p as (select component, case when part_area>100000 then least(4,(c-c0)*5//(c1-c0
  from m where part_area>5000)
 select (component//500)*4294967296+component%500 as component, piece, count(*) as cells, count(*)*400.0e0 as area,
  round((avg(c)+0.5e0)*20,4) as x, round((avg(r)+0.5e0)*20,4) as y
-from p group by component, piece having count(*)*400>5000 order by component, piece limit 50""")
+from p group by component, piece having count(*)*400>5000""")
 def _(fx):
     return rounded(S.candidate_sites(free_cells(fx), 20.0), 4, "x", "y")
 

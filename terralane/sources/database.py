@@ -40,7 +40,10 @@ def jdbc_write(df: DataFrame, url: str, table: str, if_exists: str = "fail", **o
      .mode(_MODES[if_exists]).save())
 
 
-def sql_query(spark: SparkSession, text: str, limit: int | None = 1000, **layers: DataFrame) -> DataFrame:
-    """SQL over the given layers, named in braces in the text; ``limit`` rows at most."""
+def sql_query(spark: SparkSession, text: str, limit: int | None = None, order_by: tuple[str, ...] = (),
+              **layers: DataFrame) -> DataFrame:
+    """SQL over the given layers, named in braces in the text; a ``limit`` takes the first rows of an order."""
+    if limit is not None and not order_by:
+        raise ValueError("a limit needs order_by")
     out = spark.sql(text, **layers)
-    return out.limit(limit) if limit is not None else out
+    return out.orderBy(*order_by).limit(limit) if limit is not None else out

@@ -32,17 +32,15 @@ def brute_knn(a, b, k, limit=math.inf):
     return out
 
 
-@pytest.mark.parametrize("index_rows", [0, 300_000])
 @pytest.mark.parametrize("k,limit", [(1, None), (5, None), (3, 6.0)])
-def test_knn_with_skew(points, index_rows, k, limit):
+def test_knn_with_skew(points, k, limit):
     rng = np.random.default_rng(7)
     a, b = skewed(rng, 90), skewed(rng, 1500)
-    got = knn_join(points(a), points(b), k, limit, index_rows=index_rows).collect()
+    got = knn_join(points(a), points(b), k, limit).collect()
     assert {(r["a_id"], r["b_id"], r["rank"]) for r in got} == brute_knn(a, b, k, limit or math.inf)
 
 
-@pytest.mark.parametrize("index_rows", [0, 300_000])
-def test_knn_haversine_world(points, index_rows):
+def test_knn_haversine_world(points):
     rng = np.random.default_rng(11)
     def sphere(n):
         return list(zip((rng.random(n) * 360 - 180).tolist(), np.degrees(np.arcsin(rng.random(n) * 2 - 1)).tolist()))
@@ -53,7 +51,7 @@ def test_knn_haversine_world(points, index_rows):
         h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
         return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, h)))
     want = {i: min((hav(p, q), j) for j, q in enumerate(b))[1] for i, p in enumerate(a)}
-    got = {r["a_id"]: r["b_id"] for r in knn_join(points(a), points(b), 1, metric="haversine", index_rows=index_rows).collect()}
+    got = {r["a_id"]: r["b_id"] for r in knn_join(points(a), points(b), 1, metric="haversine").collect()}
     assert got == want
 
 
@@ -62,7 +60,7 @@ def test_knn_edges(points):
     assert knn_join(points([(0, 0)]), few, 5).count() == 2
     assert knn_join(points([]), few, 1).count() == 0
     assert knn_join(few, points([]), 1).count() == 0
-    assert knn_join(few, points([]), 1, index_rows=0).count() == 0
+    assert knn_join(few, points([]), 1).count() == 0
     both = knn_join(few, few, 1, exclude_self=True).collect()
     assert {(r["a_id"], r["b_id"]) for r in both} == {(0, 1), (1, 0)}
     with pytest.raises(ValueError, match="available"):
