@@ -65,6 +65,8 @@ class Index:
         by_size: dict[int, list[int]] = {}
         prints: dict[int, np.ndarray] = {}
         known: dict[int, list[np.ndarray]] = {}
+        #: the sizes of the items that hold a shingle, by its width
+        self.sizes: dict[tuple[int, int], set[int]] = {}
         words, first = hashed_words([t for _, t in items])
         for row, (a, b) in enumerate(zip(first, first[1:])):
             size = int(b - a)
@@ -74,6 +76,8 @@ class Index:
                 by_size.setdefault(size, []).append(row)
                 prints[row] = window_prints(s, len(s))[0]
                 known.setdefault(min(WIDTH, size), []).append(s)
+                for h in s.tolist():
+                    self.sizes.setdefault((min(WIDTH, size), h), set()).add(size)
         self.known = {w: np.unique(np.concatenate(s)) for w, s in known.items()}
         self.sized = {n: self._blocks(np.array(rows), np.stack([prints[r] for r in rows])) for n, rows in by_size.items()}
 
@@ -103,11 +107,17 @@ class Index:
         ``hits``: for each shingle width, the shingles of the text and where an item's shingle stands among them.
         """
         best: dict[int, tuple[float, int, int]] = {}
-        for size in self.sized:
+        # a window only resembles items of its own size, and must share a shingle with one of them
+        by_size: dict[int, list[int]] = {}
+        for width, (own, at) in hits.items():
+            for place, h in zip(at.tolist(), own[at].tolist()):
+                for size in self.sizes[width, h]:
+                    by_size.setdefault(size, []).append(place)
+        for size, at in by_size.items():
             width = min(WIDTH, size)
-            own, places = hits[width]
+            own, places = hits[width][0], np.array(at)
             m = size - width + 1
-            if len(own) < m or not len(places):
+            if len(own) < m:
                 continue
             # runs of shingles that windows with a hit cover
             starts, stops = np.maximum(places - m + 1, 0), np.minimum(places + m, len(own))
