@@ -31,6 +31,8 @@ from terralane.llm.elias_fano import EliasFano
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 20
 END_ID = 2
+#: A task remembers the ids of so many pieces, about 200 bytes each.
+KNOWN_PIECES = 800_000
 _CODE = "struct<count:int,width:int,low:binary,high:binary,samples:binary>"
 SCHEMA = f"shard int, block int, first_id long, n_docs int, n_ids long, n_null int, id_bytes int, ids binary, bounds {_CODE}, least_key long, keys {_CODE}"
 _CODE_TYPE = pa.struct([("count", pa.int32()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
@@ -71,7 +73,7 @@ class LibraryEncoder:
             new = list({p for p, f in zip(pieces, found) if f is None})
             fresh = dict(zip(new, self._library([p.decode() for p in new])))
             found = [f if f is not None else fresh[p] for p, f in zip(pieces, found)]
-            if len(self.known) > 300_000:
+            if len(self.known) > KNOWN_PIECES:
                 self.known.clear()
             self.known.update((p, f) for p, f in fresh.items() if len(p) <= 64)
         bounds = first.tolist()
