@@ -33,12 +33,13 @@ def class_table() -> np.ndarray:
     import tiktoken
 
     single = {bytes([i]): i for i in range(256)}
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, _SENTINEL)]))
     out = np.zeros(_SENTINEL + 1, np.uint8)
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
         one = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-        found = bytes(one.encode_ordinary(text)).decode()
-        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        for at in range(0, _SENTINEL, 1 << 12):         # a few at a time: the library returns a list of bytes
+            text = "".join(chr(c) for c in range(at, at + (1 << 12)) if not 0xD800 <= c < 0xE000)
+            found = bytes(one.encode_ordinary(text)).decode()
+            out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     out[ord(" ")], out[ord("'")], out[_SENTINEL] = BLANK, QUOTE, END
     return out
 
