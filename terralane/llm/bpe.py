@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from terralane.llm import pretoken
 
 _SHORT = 48
+#: Texts are encoded together up to about so many bytes.
+_CHUNK = 1 << 18
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -110,50 +112,65 @@ def _content(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(content)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tool: Codec) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in pretoken.chunks(batch, "text", _CHUNK):
+            found = list(tool.encode(texts))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("key").slice(start, len(texts)), pa.array([len(i) for i, _ in found], pa.int64()),
+                pa.array([i.tobytes() for i, _ in found], pa.binary()),
+                pa.array([e.astype("<u4").tobytes() for _, e in found], pa.binary())], ["key", "n_tokens", "ids", "ends"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tool: Codec) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            ids, ends = (part.column(c).to_pylist() for c in ("ids", "ends"))
+            out = [tool.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<u4").astype(np.int64)) for i, e in zip(ids, ends)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n_tokens"), part.column("ids"),
+                                              pa.array(out, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+
+
+def _key_and_text(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return given, given.schema["key"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_tokens, ids and ends (binary, little-endian unsigned 32-bit integers).
 
     ``ends`` are the offsets, in the text's UTF-8 bytes, at which each token ends. Null and empty
     texts have no tokens; repeated rows and null keys stay as they are; other columns are left out.
-    Each row is handled alone, about a megabyte of text at a time (or one longer text).
+    Each row is handled alone, about a quarter of a megabyte of text at a time (or one longer text).
     """
     content = _content(docs, path)
-
-    def run(batches):
-        tool = codec(content.value)
-        for batch in batches:
-            for start, texts in pretoken.chunks(batch, "text"):
-                found = list(tool.encode(texts))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("key").slice(start, len(texts)), pa.array([len(i) for i, _ in found], pa.int64()),
-                    pa.array([i.tobytes() for i, _ in found], pa.binary()),
-                    pa.array([e.astype("<u4").tobytes() for _, e in found], pa.binary())], ["key", "n_tokens", "ids", "ends"])
-
-    given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    kind = given.schema["key"].dataType.simpleString()
-    return given.mapInArrow(run, f"key {kind}, n_tokens long, ids binary, ends binary").withColumnRenamed("key", key)
+    given, kind = _key_and_text(docs, key, text)
+    encoded = given.mapInArrow(lambda batches: _encoded(batches, codec(content.value)), f"key {kind}, n_tokens long, ids binary, ends binary")
+    return encoded.withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Columns key, n_tokens, ids and decoded (binary: the UTF-8 bytes), from what ``encode`` returns."""
     content = _content(encoded, path)
+    given = encoded.select(F.col(f"`{key}`").alias("key"), "n_tokens", "ids", "ends")
+    kind = given.schema["key"].dataType.simpleString()
+    return given.mapInArrow(lambda batches: _decoded(batches, codec(content.value)), f"key {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns key, n_tokens, ids and decoded: ``encode`` and then ``decode``, in one Python worker for each task."""
+    content = _content(docs, path)
+    given, kind = _key_and_text(docs, key, text)
 
     def run(batches):
         tool = codec(content.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, ends = (part.column(c).to_pylist() for c in ("ids", "ends"))
-                out = [tool.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<u4").astype(np.int64)) for i, e in zip(ids, ends)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n_tokens"), part.column("ids"),
-                                                  pa.array(out, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+        return _decoded(_encoded(batches, tool), tool)
 
-    given = encoded.select(F.col(f"`{key}`").alias("key"), "n_tokens", "ids", "ends")
-    kind = given.schema["key"].dataType.simpleString()
     return given.mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
 
 
 def round_trip_report(docs: DataFrame, path: str) -> DataFrame:
     """One row for each document: its number of ids, and digests of the ids and of what they decode to."""
-    back = decode(encode(docs, path), path)
+    back = round_trip(docs, path)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
