@@ -33,6 +33,8 @@ BLOCK_IDS = 1 << 20
 END_ID = 2
 #: A task remembers the ids of so many pieces, about 200 bytes each.
 KNOWN_PIECES = 800_000
+#: So many new pieces are encoded as one text.
+JOINED = 512
 _CODE = "struct<count:int,width:int,low:binary,high:binary,samples:binary>"
 SCHEMA = f"shard int, block int, first_id long, n_docs int, n_ids long, n_null int, id_bytes int, ids binary, bounds {_CODE}, least_key long, keys {_CODE}"
 _CODE_TYPE = pa.struct([("count", pa.int32()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
@@ -57,22 +59,51 @@ class LibraryEncoder:
         before = given.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not given.get("normalizer")
         self.special = [t["content"] for t in given.get("added_tokens") or []]
-        self.id_bytes = 2 if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        count = self.tool.get_vocab_size(with_added_tokens=True)
+        self.id_bytes = 2 if count <= 1 << 16 else 4
+        self.sizes = np.zeros(count, np.int64)      # bytes of each token: a letter of a byte-level token is a byte
+        for token, i in self.tool.get_vocab(with_added_tokens=False).items() if self.by_piece else ():
+            self.sizes[i] = len(token)
         self.known: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.id_bytes}").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces of a blank and visible characters: wherever they follow each other, the library cuts before each blank.
+
+        So many are encoded as one text, and its ids are parted where the bytes of a piece end.
+        """
+        out = {}
+        for at in range(0, len(pieces), JOINED):
+            own = pieces[at:at + JOINED]
+            ids = self._library([b"".join(own).decode()])[0]
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, f"<u{self.id_bytes}")])
+            wanted = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            last = np.searchsorted(ends, wanted)
+            if last[-1] >= len(ends) or (ends[last] != wanted).any():
+                out |= zip(own, self._library([p.decode() for p in own]))     # a vocabulary without some byte
+                continue
+            bounds = ((last + 1) * self.id_bytes).tolist()
+            out |= {p: ids[a:b] for p, a, b in zip(own, [0, *bounds], bounds)}
+        return out
+
+    def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        words = [p for p in pieces if len(p) > 1 and p[0] == 0x20 and not p[1:5].decode(errors="ignore")[:1].isspace()]
+        rest = list(pieces.difference(words))
+        return self._joined(words) | dict(zip(rest, self._library([p.decode() for p in rest])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, ``id_bytes`` each."""
         whole = [i for i, t in enumerate(texts) if not self.by_piece or any(s in t for s in self.special)]
         out = dict(zip(whole, self._library([texts[i] for i in whole]))) if whole else {}
         pieces, first = pretoken.pieces([t if i not in out else "" for i, t in enumerate(texts)])
         found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list({p for p, f in zip(pieces, found) if f is None})
-            fresh = dict(zip(new, self._library([p.decode() for p in new])))
-            found = [f if f is not None else fresh[p] for p, f in zip(pieces, found)]
+        holes = [i for i, f in enumerate(found) if f is None]
+        if holes:
+            fresh = self._pieces({pieces[i] for i in holes})
+            for i in holes:
+                found[i] = fresh[pieces[i]]
             if len(self.known) > KNOWN_PIECES:
                 self.known.clear()
             self.known.update((p, f) for p, f in fresh.items() if len(p) <= 64)

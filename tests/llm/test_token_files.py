@@ -1,5 +1,6 @@
 """Token files against the library, and Elias-Fano coding against plain arrays."""
 
+import random
 import zlib
 
 import duckdb
@@ -65,3 +66,14 @@ def test_other_tokenizers_and_empty(spark, tmp_path):
     got = {r["doc_id"]: r["n_tokens"] for r in token_files.token_file_report(df, str(tmp_path / "a"), path).collect()}
     assert got == {1: len(Tokenizer.from_file(path).encode("Some  Words here", add_special_tokens=False).ids) + 1, 2: 1}
     assert token_files.token_file_report(df.limit(0), str(tmp_path / "b"), path).count() == 0
+
+
+def test_joined_pieces_are_those_of_the_library():
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        content = f.read()
+    choose = random.Random(5)
+    letters = " \n\t'aé中　\x1c\x85 9½stdmrevl.!😀́ǅ"
+    texts = ["".join(choose.choice(letters) for _ in range(choose.randrange(60))) for _ in range(4000)] + ["<|endoftext|> a b", " ", " \x1c", ""]
+    tool = token_files.LibraryEncoder(content)
+    found = [np.frombuffer(ids, f"<u{tool.id_bytes}").tolist() for ids in tool.encode(texts)]
+    assert found == [e.ids for e in Tokenizer.from_str(content.decode()).encode_batch(texts, add_special_tokens=False)]
