@@ -47,9 +47,9 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], byt
                 offsets.append(at)
                 parts.append(part)
                 held += len(part)
-        if held >= CHUNK:
-            yield rows, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
-            rows, offsets, parts, held = [], [], [], 0
+            if held >= CHUNK:       # within a long text too: no more than CHUNK + SEGMENT + LENGTH bytes at a time
+                yield rows, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
+                rows, offsets, parts, held = [], [], [], 0
     if parts:
         yield rows, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
 
@@ -59,6 +59,7 @@ def sampled(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
     Strings start at ``first`` to ``last`` and lie within one part (parts end at ``ends``).
     """
+    assert len(data) <= _PLACE + 1, "places must fit beside the hash"
     at = np.arange(len(data) - SAMPLE + 1)
     name = range_hashes(data, at, at + SAMPLE)
     least = (name & ~np.uint64(_PLACE)) | at.astype(np.uint64)

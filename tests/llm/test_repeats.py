@@ -83,5 +83,25 @@ def test_long_texts_in_segments(monkeypatch):
     assert seen == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t or "") - N + 1))
 
 
+def test_digits_of_texts_longer_than_a_place(monkeypatch):
+    """Equal strings have equal digits wherever they stand in a text that has more bytes than a place can number."""
+    monkeypatch.setattr(repeats, "SEGMENT", 4000)
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    monkeypatch.setattr(repeats, "_PLACE", (1 << 13) - 1)
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = some(3000)
+    text = some(500) + shared + some(30_000) + shared + some(700)
+    digits = {}
+    for rows, offsets, data, ends in repeats._segments(pa.RecordBatch.from_arrays([pa.array([text])], ["text"])):
+        first, last, digit, _ = repeats.sampled(np.frombuffer(data, np.uint8), ends)
+        part = np.searchsorted(ends, first, "right")
+        for p, a, b, d in zip(part, first, last, digit):
+            for i in range(a, b + 1):
+                digits[offsets[p] + i - (int(ends[p - 1]) if p else 0)] = int(d)
+    assert len(digits) == len(text) - N + 1
+    assert all(digits[500 + i] == digits[33_500 + i] for i in range(3000 - N + 1))
+
+
 def test_empty(spark):
     assert repeats.repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
