@@ -1,14 +1,16 @@
 """Secrets: fixed expressions, and strings that a primed compressor finds new.
 
-A string in a sensitive context is measured by the bytes it adds to a zstandard frame of the code
-around it, primed with the identifiers that the corpus uses in such lines. Names and prose cost
+A context is a line with a sensitive word and the lines next to it. Every string there that may be a
+secret by its look is measured by the bytes it adds to a zstandard frame of the code around it, primed with the identifiers that the corpus uses in such lines. Names and prose cost
 little, since their parts are known; random strings cost nearly their length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -21,11 +23,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")           # of maximal runs, those of 20 and more characters
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
-#: Words that make a context sensitive, and how far before a string they may stand.
+#: Words that make a context sensitive.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "private", "credential", "auth", "bearer", "signature")
-REACH = 48
-#: What may be a secret by its look: long, with letters and digits.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: What may be a secret by its look: so long, with letters and digits.
+LEAST = 16
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+#: A line that holds nothing but one such run goes on with the value of the line before.
+_WRAPPED = re.compile(rf"[^A-Za-z0-9+/_=-]*+[A-Za-z0-9+/_=-]{{{LEAST},}}+[^A-Za-z0-9+/_=-]*+")
+_BEGIN, _END = re.compile(r"-----BEGIN [A-Z0-9 ]+-----"), "-----END"
+#: Of the body of a PEM block, what is not an escaped line end.
+_BODY = re.compile(r"\\[nrt]|([A-Za-z0-9+/=]+)")
 #: How much code on either side primes the frame, and the bytes a character must add to count as new.
 AROUND = 256
 NOVEL = 0.7
@@ -33,6 +41,7 @@ NOVEL = 0.7
 IDENTIFIERS = 4096
 MARK = "[secret]"
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
+_HINTS = ("pass", "secret", "token", "api", "private", "cred", "auth", "bearer", "signature")
 
 
 def identifier_dictionary(docs: DataFrame, text: str = "text", limit: int = IDENTIFIERS) -> bytes:
@@ -46,6 +55,40 @@ def identifier_dictionary(docs: DataFrame, text: str = "text", limit: int = IDEN
     return "\n".join(r["word"] for r in reversed(top)).encode()
 
 
+def looks(text: str) -> bool:
+    """May it be a secret?"""
+    return len(text) >= LEAST and bool(_DIGIT.search(text)) and bool(_LETTER.search(text))
+
+
+def contexts(text: str) -> list[tuple[int, int, bool]]:
+    """Sensitive lines (from, to, False) in order; bodies of PEM blocks (from, to, True) come before their lines.
+
+    These are lines with a sensitive word, those next to them (blank ones aside), lines that go on with a wrapped value, and
+    all lines of a PEM block that begins in one of them.
+    """
+    lines, at = [], 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            lines.append((at, line))
+        at += len(line) + 1
+    named = [bool(_SENSITIVE.search(line)) for _, line in lines]
+    out, within, until = [], False, 0
+    for k, (at, line) in enumerate(lines):
+        near = any(named[max(0, k - 1):k + 2])
+        if not (near or at < until or within and _WRAPPED.fullmatch(line)):
+            within = False
+            continue
+        within = True
+        for m in _BEGIN.finditer(line):
+            if at + m.start() >= until:
+                stop = text.find(_END, at + m.end())
+                until = stop if stop >= 0 else len(text)
+                if stop >= 0:
+                    out.append((at + m.end(), stop, True))
+        out.append((at, at + len(line), False))
+    return out
+
+
 class Scanner:
     def __init__(self, dictionary: bytes):
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
@@ -71,24 +114,36 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, int, str, int]]:
         """The base spans, and novel strings that none of them touches."""
         found = self.base(text)
-        words = [m.end() for m in _SENSITIVE.finditer(text)] if any(w in (low := text.lower()) for w in ("pass", "secret", "token", "api", "private", "cred", "auth", "bearer", "signature")) and low else []
-        taken = [(s, e) for s, _, e, _, _ in found]
-        tried = -1
-        for end in words:
-            line = text.find("\n", end, end + REACH)
-            for m in CANDIDATE.finditer(text, end, min(len(text), end + REACH if line < 0 else line)):
-                start = m.start()
-                while start and start > tried and re.match(r"[A-Za-z0-9+/_=-]", text[start - 1]) and start > end:
-                    start -= 1
-                stop = m.end()
-                while stop < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[stop]):
-                    stop += 1
-                if start <= tried or any(s < stop and start < e for s, e in taken):
+        low = text.lower()
+        if not any(w in low for w in _HINTS):
+            return found
+        starts, reach = [x[0] for x in found], list(accumulate((x[2] for x in found), max))
+
+        def new(start: int, stop: int, body: str) -> bool:
+            """Is the string novel, and does no base span touch it?"""
+            k = bisect_left(starts, stop)
+            return not (k and reach[k - 1] > start) and self.added(text[max(0, start - AROUND):start], body, text[stop:stop + AROUND]) >= NOVEL
+
+        bodies: tuple[list[int], list[int]] = [], []
+        for low, high, block in contexts(text):
+            if block:
+                pieces = [m for m in _BODY.finditer(text, low, high) if m[1]]
+                body = "".join(m[1] for m in pieces)
+                if looks(body) and new(pieces[0].start(), pieces[-1].end(), body):
+                    found.append((pieces[0].start(), 3, pieces[-1].end(), "novel", pieces[0].start()))
+                    bodies[0].append(pieces[0].start())
+                    bodies[1].append(pieces[-1].end())
+                continue
+            for m in _RUN.finditer(text, low, high):
+                k = bisect_left(bodies[0], m.end())
+                if k and bodies[1][k - 1] > m.start():
                     continue
-                tried = start
-                if self.added(text[max(0, start - AROUND):start], text[start:stop], text[stop:stop + AROUND]) >= NOVEL:
-                    found.append((start, 3, stop, "novel", start))
-                    taken.append((start, stop))
+                words = [x.span() for x in _SENSITIVE.finditer(m[0])]
+                edges = [m.start(), *(m.start() + x for w in words for x in w), m.end()]
+                hits = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if looks(text[s:e]) and new(s, e, text[s:e])]
+                if words and not hits and looks(m[0]) and new(*m.span(), m[0]):
+                    hits = [m.span()]
+                found += [(s, 3, e, "novel", s) for s, e in hits]
         return sorted(found)
 
     def redacted(self, text: str) -> str:
