@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralane.llm import bpe, decontaminate, passages, pii, quality, repeats, secrets, simhash_dedup, token_count, token_files
+from terralane.llm import (bpe, decontaminate, divergence, langid, oracles, passages, pii, quality, repeats, resample, secrets, simhash_dedup,
+                           token_count, token_files)
 from terralane.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: None of the operators can be said in SQL as a whole; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: Operators that SQL can say in full; the others are held against brute force by the tests.
+ORACLES: dict[str, str] = {"op11_importance_resampling": oracles.OP11, "op13_source_divergence": oracles.OP13}
 
 
 def query(fn: Query) -> Query:
@@ -73,3 +74,18 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, folder, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
