@@ -1,18 +1,20 @@
 """Divergence of sources: how far the words of each source stand from those of the other sources of its language.
 
-Terms are counted once, as 64-bit digests; only digests and numbers are shuffled. The words themselves stay in the
-written counts until two places: the least and the greatest word of each kept digest, which show digests that two
-words share (those are split by word), and the words of the terms that come out at the end.
+Terms are counted once, as 64-bit digests with packed counts of the groups (language, source); the big shuffle moves digests
+and numbers only. The words themselves stay in the written counts until two places: the least and the greatest word of each
+kept digest, which show digests that two words share (those are counted again by word), and the words of the
+terms that come out at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralane.llm import pretoken
@@ -23,14 +25,21 @@ LEAST_DOCS = 3
 #: Terms listed for each group.
 TOP = 200
 SCALE = 1_000_000_000
-#: A task gathers so many (language, source, term) rows before it hands them on.
+#: A task gathers so many (group, term) counts before it hands them on.
 HELD = 1_000_000
-#: Pairs of sources summed together in a task.
+#: Pairs of sources, and values for the top terms, that a task holds before it sums or sifts them.
 PAIRS = 1 << 22
 #: Groups are broadcast up to this number (about 100 bytes each).
 SMALL = 200_000
 #: Letters and everything beyond ASCII stay, A-Z in lower case; the rest parts terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A group's count of a term: the group's number and the occurrences.
+_PAIR = np.dtype([("group", "<i8"), ("n", "<i8")])
+
+
+def group_number(lang: str, source: str, seed: int) -> int:
+    """The number of a group: a 64-bit hash, with a seed under which no two groups share one."""
+    return xxhash.xxh64_intdigest(f"{len(lang)}:{lang}{source}".encode(), seed) - (1 << 63)
 
 
 class _Numbers(dict):
@@ -41,11 +50,26 @@ class _Numbers(dict):
         return number
 
 
+def _sums(order: np.ndarray, new: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values in ``order``, summed from each place of ``new`` to the next."""
+    return [np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values]
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 class _Counts:
     """Occurrences and documents of each (group, term) of a task, by exact words."""
 
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
+    def __init__(self, bits: int, seed: int):
+        self.mask, self.seed = (1 << bits) - 1, seed
         self.clear()
 
     def clear(self):
@@ -70,33 +94,40 @@ class _Counts:
     def _summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, n, docs = (np.concatenate(c) for c in zip(*self.parts))
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[len(key) > 0], key[1:] != key[:-1]]))
-        return key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+        new = _changes(key[order])
+        return key[order][new], *_sums(order, new, n, docs)
 
     def full(self) -> bool:
         return self.rows > HELD // 2 and len(self.parts) == 1
 
     def close(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            known, *sums = self._summed()
+            key, n, docs = self._summed()
+            names = list(self.groups)
+            langs = sorted({x for x, _ in names})
+            lang = np.array([langs.index(x) for x, _ in names])[key >> 40]
+            pair = np.empty(len(key), _PAIR)
+            pair["group"], pair["n"] = np.array([group_number(*x, self.seed) for x in names], np.int64)[key >> 40], n
+            term = key & (1 << 40) - 1
+            order = np.lexsort((pair["group"], lang, term))
+            new = _changes(term[order], lang[order])
+            (docs,) = _sums(order, new, docs)
+            packed, ends = pair[order].tobytes(), np.append(new[1:], len(order)) * _PAIR.itemsize
             words = pa.array(list(self.terms), pa.binary()).cast(pa.string())
             digests = np.fromiter((xxhash.xxh64_intdigest(t) & self.mask for t in self.terms), np.uint64, len(self.terms)).view(np.int64)
-            names = list(self.groups)
-            for at in range(0, len(known), 1 << 16):
+            term, lang, starts = term[order][new], lang[order][new], new * _PAIR.itemsize
+            for at in range(0, len(new), 1 << 16):
                 part = slice(at, at + (1 << 16))
-                group, term = known[part] >> 40, known[part] & (1 << 40) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[g][0] for g in group.tolist()], pa.string()), pa.array([names[g][1] for g in group.tolist()], pa.string()),
-                     pa.array(digests[term]), pa.array(sums[0][part]), pa.array(sums[1][part]), words.take(pa.array(term))],
-                    ["lang", "source", "digest", "n", "docs", "term"])
+                counts = pa.array([packed[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(lang[part])), pa.array(digests[term[part]]), pa.array(docs[part]), counts,
+                                                  words.take(pa.array(term[part]))], ["lang", "digest", "docs", "counts", "term"])
         self.clear()
 
 
-def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """lang, source, digest, n, docs, term from docs (lang, source, text; no nulls): summed up within each task only."""
+def term_counts(docs: DataFrame, seed: int, bits: int = 64) -> DataFrame:
+    """lang, digest, docs, counts (packed), term from docs (lang, source, text; no nulls): summed up within each task only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts(bits)
+        held = _Counts(bits, seed)
         for batch in batches:
             for start, texts in pretoken.chunks(batch, "text"):
                 keys = list(zip(*(batch.column(c).slice(start, len(texts)).to_pylist() for c in ("lang", "source"))))
@@ -105,110 +136,211 @@ def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
                     yield from held.close()
         yield from held.close()
 
-    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, digest long, n long, docs long, term string")
-
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, digest long, docs long, counts binary, term string")
+
+
+def _merged(counts: DataFrame, key: list[str], least_docs: int) -> DataFrame:
+    """lang, digest, term, counts of the terms by ``key`` that occur in enough documents; one shuffle."""
+    def rows(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(held)
+        columns = [table.column(c).combine_chunks() for c in key]
+        new = _changes(*(c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy() for c in columns))
+        docs = np.add.reduceat(table.column("docs").to_numpy(), new)
+        kept = docs >= least_docs
+        term = np.repeat(np.arange(len(new)), np.diff(np.append(new, table.num_rows)))
+        chosen = pa.array(kept[term])
+        content = table.column("counts").filter(chosen)
+        pair = np.frombuffer(b"".join(content.to_pylist()), _PAIR)
+        size = np.array([len(c) // _PAIR.itemsize for c in content.to_pylist()], np.int64)
+        term = np.repeat(term[kept[term]], size)
+        order = np.lexsort((pair["group"], term))
+        first = _changes(term[order], pair["group"][order]) if len(order) else np.zeros(0, np.int64)
+        merged = np.empty(len(first), _PAIR)
+        merged["group"] = pair["group"][order][first]
+        (merged["n"],) = _sums(order, first, pair["n"])
+        ends = np.cumsum(np.bincount(term[order][first], minlength=len(new))[kept]) * _PAIR.itemsize
+        packed, at = merged.tobytes(), [0, *ends.tolist()]
+        out = table.take(pa.array(new[kept]))
+        names = out.column("term") if "term" in key else pa.nulls(out.num_rows, pa.string())
+        if out.num_rows:
+            yield from pa.table({"lang": out.column("lang"), "digest": out.column("digest"), "term": names,
+                                 "counts": pa.array([packed[a:b] for a, b in zip(at, at[1:])], pa.binary())}).combine_chunks().to_batches()
 
-def _split(counts: DataFrame, least_docs: int) -> DataFrame:
-    """``counts`` with the column part: 0, or the number of the word among those that share its digest."""
-    often = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("digest").distinct()
-    ends = counts.join(often, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            end = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in key)
+            held.append(pa.Table.from_batches([batch]))
+            if end == last:         # one term only so far
+                continue
+            last = end
+            table = pa.concat_tables(held)
+            cut = table.num_rows - 1
+            while cut and all(table.column(c)[cut - 1].as_py() == e for c, e in zip(key, end)):
+                cut -= 1
+            if cut:
+                yield from rows([table.slice(0, cut)])
+            held = [table.slice(cut)]
+        if held:
+            yield from rows(held)
+
+    carried = list(dict.fromkeys(["lang", "digest", *key, "docs", "counts"]))
+    dealt = counts.select(*carried).repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "lang string, digest long, term string, counts binary")
+
+
+def _kept(counts: DataFrame, least_docs: int) -> DataFrame:
+    """lang, digest, term, counts of all kept terms; ``term`` only where a digest alone does not tell."""
+    kept = stored(_merged(counts, ["lang", "digest"], least_docs), "kept-terms")
+    often = kept.select("digest").distinct()
+    ends = counts.select("digest", "term").join(often, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
     shared = stored(ends.filter("least <> greatest").select("digest"), "shared-digests")
     if shared.isEmpty():        # the usual case: 10^9 terms share a digest once in 37 times
-        return counts.withColumn("part", F.lit(0))
-    words = counts.select("digest", "term").join(shared, "digest", "left_semi").distinct()
-    parts = words.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("term")))
-    return counts.join(parts, ["digest", "term"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+        return kept
+    single = _merged(counts.join(shared, "digest", "left_semi"), ["lang", "digest", "term"], least_docs)
+    return stored(kept.join(shared, "digest", "left_anti").unionByName(single), "kept-terms")
 
 
-def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / (total + terms)), exactly; null without terms."""
-    above = ((n + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")).alias("above")
-    # a whole division of decimals is a long
-    return F.lit(1).cast("long") + F.call_function("div", above, F.nullif(total + terms, F.lit(0)).cast("decimal(20,0)"))
+@dataclass(frozen=True)
+class Groups:
+    """The groups in the order of their numbers, and the languages: what their shares are divided by."""
+    number: np.ndarray
+    below: np.ndarray           # N + V
+    langs: dict[str, int]       # N + V of the languages
 
+    def place(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.number, number)
 
-def gap(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
 
+def share(n: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """1 + floor(10^9 (n + 1) / below), exactly."""
+    if len(n) and int(n.max()) >= 9_000_000_000:        # beyond 64 bits
+        return (1 + SCALE * (n.astype(object) + 1) // below.astype(object)).astype(np.int64)
+    return 1 + SCALE * (n + 1) // below
+
+
+def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // q
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast a written table when it is small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
 
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, group number and occurrences of every count in a batch."""
+    content = batch.column("counts").to_pylist()
+    pair = np.frombuffer(b"".join(content), _PAIR)
+    row = np.repeat(np.arange(len(content)), [len(c) // _PAIR.itemsize for c in content])
+    return row, pair["group"], pair["n"]
+
+
+class _Sums:
+    """Sums of values by two numbers; handed on when too many."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.held = names, [], 0
+
+    def add(self, one: np.ndarray, two: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(one):
+            self.parts.append((one, two, value))
+            self.held += len(one)
+        if self.held > PAIRS:
+            self.parts = [self._summed()]
+            self.held = len(self.parts[0][0])
+            if self.held > PAIRS // 2:
+                yield from self.close()
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (name, part, number, p, rest) sorted by term: for every two sources what their shared terms add to the sums."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def summed():
-        keys = np.concatenate([k for k, _ in found], axis=1)
-        values = np.concatenate([v for _, v in found])
-        order = np.lexsort(keys)
-        keys, values = keys[:, order], values[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(keys, axis=1) != 0).any(axis=0)]))
-        return keys[:, new], np.add.reduceat(values, new)
-
-    def handed(keys, values):
-        return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(values)], ["one", "other", "value"])
-
-    for cols in _terms(batches):
-        term, number, p, rest = cols
-        size = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(term) != 0, [True]])))
-        first = np.repeat(np.cumsum(size) - size, size)
-        size = np.repeat(size, size)
-        at = 0
-        while at < len(number):      # rows of the left side, as many as make so many pairs
-            stop = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), PAIRS, "right")))
-            left = np.repeat(np.arange(at, stop), size[at:stop])
-            right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(size[at:stop]) - size[at:stop], size[at:stop])
-            apart = left != right
-            left, right = left[apart], right[apart]
+    def _summed(self) -> tuple[np.ndarray, ...]:
+        one, two, value = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((two, one))
+        new = _changes(one[order], two[order])
+        return one[order][new], two[order][new], *_sums(order, new, value)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self._summed()], self.names)
+        self.parts, self.held = [], 0
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch], groups: Groups) -> Iterator[pa.RecordBatch]:
+    """For every two sources what the terms that both have add to their sums beyond what either adds alone."""
+    rest = share(np.zeros(len(groups.below), np.int64), groups.below)
+    found = _Sums(["one", "other", "value"])
+    for batch in batches:
+        term, number, n = _unpacked(batch)
+        own = groups.place(number)
+        p, z = share(n, groups.below[own]), rest[own]
+        size = np.bincount(term, minlength=batch.num_rows)
+        first, size = (np.cumsum(size) - size)[term], size[term]
+        done, at = np.cumsum(size), 0
+        while at < len(number):      # as many left sides as make PAIRS pairs
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+            count = size[at:stop]
+            left = np.repeat(np.arange(at, stop), count)
+            right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+            left, right = left[left != right], right[left != right]
             at = stop
-            if not len(left):
-                continue
-            f = [(x - y) ** 2 // y for x, y in ((p[left], p[right]), (p[left], rest[right]), (rest[left], p[right]), (rest[left], rest[right]))]
-            found.append((np.stack([number[left], number[right]]), f[0] - f[1] - f[2] + f[3]))
-            held += len(left)
-            if held > PAIRS:
-                keys, values = summed()
-                if len(values) > PAIRS // 2:
-                    yield handed(keys, values)
-                    found, held = [], 0
-                else:
-                    found, held = [(keys, values)], len(values)
-    if found:
-        yield handed(*summed())
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole terms, numbered, with the columns number, p and rest; a batch's last term waits for the next batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
-
-    def columns(table: pa.Table):
-        new = np.zeros(table.num_rows, np.int64)
-        for c in ("lang", "digest", "part"):
-            values = table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() if c == "lang" else table.column(c).to_numpy()
-            new[1:] |= np.diff(values) != 0
-        return np.cumsum(new), *(table.column(c).to_numpy() for c in ("number", "p", "rest"))
+            value = _gap(p[left], p[right]) - _gap(p[left], z[right]) - _gap(z[left], p[right]) + _gap(z[left], z[right])
+            yield from found.add(number[left], number[right], value)
+    yield from found.close()
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], groups: Groups) -> Iterator[pa.RecordBatch]:
+    """How many kept terms of each group have each share."""
+    found = _Sums(["number", "p", "times"])
+    for batch in batches:
+        _, number, n = _unpacked(batch)
+        yield from found.add(number, share(n, groups.below[groups.place(number)]), np.ones(len(n), np.int64))
+    yield from found.close()
+
+
+def _heights(batches: Iterator[pa.RecordBatch], groups: Groups, top: int) -> Iterator[pa.RecordBatch]:
+    """Terms above the language's share, with their value: of each task and group the ``top`` greatest and all that tie with the last."""
+    held: list[pa.Table] = []
+    count = 0
+
+    def sifted() -> pa.Table:
+        table = pa.concat_tables(held).combine_chunks()
+        number, value = table.column("number").to_numpy(), table.column("value").to_numpy()
+        order = np.lexsort((-value, number))
+        new = _changes(number[order])
+        start = np.repeat(new, np.diff(np.append(new, len(order))))
+        last = np.minimum(start + top - 1, np.repeat(np.append(new[1:], len(order)) - 1, np.diff(np.append(new, len(order)))))
+        return table.take(pa.array(order[value[order] >= value[order][last]]))
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        end = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("lang", "digest", "part"))
-        held.append(batch)
-        if end == last:
-            continue
-        last = end
-        table = pa.Table.from_batches(held)
-        term, *rest = columns(table)
-        cut = int(np.searchsorted(term, term[-1]))
-        if cut:
-            yield term[:cut], *(c[:cut] for c in rest)
-        held = table.slice(cut).combine_chunks().to_batches()
+        row, number, n = _unpacked(batch)
+        all_n = np.zeros(batch.num_rows, np.int64)
+        np.add.at(all_n, row, n)
+        below = np.array([groups.langs[x] for x in batch.column("lang").to_pylist()], np.int64)
+        p, q = share(n, groups.below[groups.place(number)]), share(all_n, below)[row]
+        high = np.flatnonzero(p > q)
+        if len(high):
+            at = pa.array(row[high])
+            held.append(pa.table({"number": number[high], "digest": batch.column("digest").take(at), "term": batch.column("term").take(at),
+                                  "value": _gap(p[high], q[high])}))
+            count += len(high)
+        if count > PAIRS // 4:
+            held = [sifted()]
+            count = 0
     if held:
-        yield columns(pa.Table.from_batches(held))
+        yield from sifted().combine_chunks().to_batches()
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast a written table when it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _totals(kept: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Sums(["number", "none", "total"])
+        for batch in batches:
+            _, number, n = _unpacked(batch)
+            yield from found.add(number, np.zeros(len(n), np.int64), n)
+        yield from found.close()
+
+    return kept.mapInArrow(run, "number long, none long, total long").groupBy("number").agg(F.sum("total").alias("total"))
 
 
 def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
@@ -221,60 +353,79 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     kept terms of the group with p above the language's q, the ``top`` greatest by the same value. Ranks run
     from 1 by falling values, then items in the order of their UTF-8 bytes. An empty table has no rows.
 
-    Digests have ``bits`` bits; terms that share one are told apart whatever their number.
+    Digests have ``bits`` bits; terms that share one are told apart whatever their number. The groups (a number and a total
+    each) are held by every task: the pair part alone returns the square of their number.
     """
     clean = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = stored(term_counts(clean, bits), "term-counts")
-    keyed = _split(counts, least_docs)
-    term = ["lang", "digest", "part"]
-    # dealt out by term once, which serves the sums of the groups and of the languages
-    by_group = keyed.repartition(*term).groupBy(*term, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    same = Window.partitionBy(*term)
-    kept = stored(by_group.select(*term, "source", "n", F.sum("docs").over(same).alias("all_docs"), F.sum("n").over(same).alias("all_n"))
-                  .filter(F.col("all_docs") >= least_docs).drop("all_docs"), "kept-terms")
-    terms = kept.groupBy(*term).agg(F.first("all_n").alias("n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("all_total"))
-    own = kept.groupBy("lang", "source").agg(F.count("*").alias("own"), F.sum("n").alias("total"))
-    named = clean.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0)
-    named = stored(named.withColumn("number", F.monotonically_increasing_id())
-                   .withColumn("rest", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "groups")
-    groups = _few(named)
-    shares = kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    return _pairs(named, shares).unionByName(_tops(counts, keyed, shares, top))
-
-
-def _pairs(named: DataFrame, shares: DataFrame) -> DataFrame:
-    side = lambda at: named.select("lang", *[F.col(c).alias(f"{c}_{at}") for c in ("source", "number", "own", "terms", "rest")])
+    named, seed = _named_groups(clean)
+    counts = stored(term_counts(clean, seed, bits), "term-counts")
+    kept = _kept(counts, least_docs)
+    totals = _totals(kept)
+    terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
+    found = stored(named.join(totals, "number", "left").join(terms, "lang", "left").fillna(0), "groups")
+    rows = found.orderBy("number").collect()        # the groups; see above
+    langs: dict[str, int] = {}
+    for r in rows:
+        langs[r["lang"]] = langs.get(r["lang"], r["terms"]) + r["total"]
+    number = np.array([r["number"] for r in rows], np.int64)
+    below = np.array([max(1, r["total"] + r["terms"]) for r in rows], np.int64)
+    groups = docs.sparkSession.sparkContext.broadcast(Groups(number, below, langs))
+    pairs = _pairs(found, kept, groups)
+    return pairs.unionByName(_tops(found, counts, kept, groups, top))
+
+
+def _named_groups(clean: DataFrame) -> tuple[DataFrame, int]:
+    """lang, source and number of every group, and the seed of the numbers."""
+    names = stored(clean.select("lang", "source").distinct(), "names")
+    for seed in range(64):
+        def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lang, source = (batch.column(c).to_pylist() for c in ("lang", "source"))
+                numbers = pa.array([group_number(a, b, seed) for a, b in zip(lang, source)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, numbers], ["lang", "source", "number"])
+        named = names.mapInArrow(run, "lang string, source string, number long")
+        if named.groupBy("number").count().filter("count > 1").isEmpty():
+            return named, seed
+    raise ValueError("no seed tells the groups apart")
+
+
+def _pairs(named: DataFrame, kept: DataFrame, groups) -> DataFrame:
+    with_rest = named.withColumn("rest", F.expr(f"1 + {SCALE} div nullif(total + terms, 0)"))
+    gap = lambda p, q: F.call_function("div", (p - q) * (p - q), q)
+    equal = stored(kept.mapInArrow(lambda batches: _histograms(batches, groups.value), "number long, p long, times long")
+                   .groupBy("number", "p").agg(F.sum("times").alias("times")), "histograms")
+    own = equal.groupBy("number").agg(F.sum("times").alias("own"))
+    full = stored(with_rest.join(own, "number", "left").fillna(0, ["own"]), "groups")
+    side = lambda at: full.select("lang", *[F.col(c).alias(f"{c}_{at}") for c in ("source", "number", "own", "terms", "rest")])
     both = side("a").join(side("b"), "lang").filter("number_a <> number_b")
     # without kept terms there is no share, and the value is 0
     neither = both.select(F.col("number_a").alias("one"), F.col("number_b").alias("other"), F.coalesce(
         (F.col("terms_a") - F.col("own_a") - F.col("own_b")) * gap(F.col("rest_a"), F.col("rest_b")), F.lit(0)).alias("value"))
-    equal = shares.groupBy("lang", "number", "p").agg(F.count("*").alias("times"))
-    rests = named.select("lang", F.col("number").alias("number_b"), F.col("rest").alias("rest_b"))
-    single = equal.join(_few(rests), "lang").filter("number <> number_b")
+    few = _few(full)
+    rests = few.select("lang", F.col("number").alias("number_b"), F.col("rest").alias("rest_b"))
+    single = equal.join(few.select("number", "lang"), "number").join(rests, "lang").filter("number <> number_b")
     here = single.groupBy(F.col("number").alias("one"), F.col("number_b").alias("other")).agg(
         F.sum(F.col("times") * gap(F.col("p"), F.col("rest_b"))).alias("value"),
         F.sum(F.col("times") * gap(F.col("rest_b"), F.col("p"))).alias("back"))
     here = here.select(F.explode(F.array(F.struct("one", "other", "value"), F.struct(
         F.col("other").alias("one"), F.col("one").alias("other"), F.col("back").alias("value")))).alias("x")).select("x.*")
-    ordered = shares.select("lang", "digest", "part", "number", "p", "rest").repartition("lang", "digest", "part").sortWithinPartitions("lang", "digest", "part")
-    shared = ordered.mapInArrow(_overlaps, "one long, other long, value long")
+    shared = kept.mapInArrow(lambda batches: _overlaps(batches, groups.value), "one long, other long, value long")
     total = neither.unionAll(here).unionAll(shared).groupBy("one", "other").agg(F.sum("value").alias("value"))
-    a = named.select("lang", "source", F.col("number").alias("one"))
-    b = named.select(F.col("source").alias("item"), F.col("number").alias("other"))
-    rows = total.join(_few(a), "one").join(_few(b), "other")
+    a = few.select("lang", "source", F.col("number").alias("one"))
+    b = few.select(F.col("source").alias("item"), F.col("number").alias("other"))
+    rows = total.join(a, "one").join(b, "other")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return rows.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
 
-def _tops(counts: DataFrame, keyed: DataFrame, shares: DataFrame, top: int) -> DataFrame:
-    high = shares.withColumn("q", share(F.col("all_n"), F.col("all_total"), F.col("terms"))).filter("p > q")
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+def _tops(named: DataFrame, counts: DataFrame, kept: DataFrame, groups, top: int) -> DataFrame:
+    high = kept.mapInArrow(lambda batches: _heights(batches, groups.value, top), "number long, digest long, term string, value long")
     # the words decide among equal values only, so all that tie with the last are named
-    near = (high.withColumn("value", gap(F.col("p"), F.col("q"))).withColumn("least", F.rank().over(by_value)).filter(F.col("least") <= top)
-            .select("lang", "source", "digest", "part", "value"))
-    near = stored(near, "top-terms")
-    wanted = near.select("digest", "part").distinct()
-    words = keyed.join(wanted, ["digest", "part"]).groupBy("digest", "part").agg(F.first("term").alias("item"))
+    by_value = Window.partitionBy("number").orderBy(F.desc("value"))
+    near = stored(high.withColumn("least", F.rank().over(by_value)).filter(F.col("least") <= top).drop("least"), "top-terms")
+    wanted = near.filter("term is null").select("digest").distinct()
+    words = counts.select("digest", F.col("term").alias("word")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("word").alias("word"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = near.join(words, ["digest", "part"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    told = near.join(words, "digest", "left").select("number", F.coalesce("term", "word").alias("item"), "value")
+    ranked = told.join(_few(named).select("number", "lang", "source"), "number").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")

@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,43 +58,63 @@ def test_top_and_ties(spark):
     assert got == plain(rows, top=5)
 
 
-def test_flushes_and_blocks_change_nothing(spark, monkeypatch):
-    """Small buffers in the functions themselves: counts handed on early, terms over several batches, pairs summed in parts."""
-    import pyarrow as pa
+def test_small_buffers_change_nothing(spark, monkeypatch):
+    """The functions themselves with little room: counts handed on early, pairs summed in parts, top terms sifted often."""
     rng = random.Random(4)
-    table = sorted((f"l{rng.randrange(2)}", rng.randrange(30), 0, s, rng.randrange(1, 10**9), rng.randrange(1, 10**6)) for s in range(12) for _ in range(40))
-    table = list({(r[0], r[1], r[3]): r for r in table}.values())
-    names = ["lang", "digest", "part", "number", "p", "rest"]
-    batches = lambda n: (pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in table[i:i + n]]) for i in range(0, len(table), n))
-
-    def sums(n):
+    numbers = sorted(rng.randrange(-2**62, 2**62) for _ in range(12))
+    groups = divergence.Groups(np.array(numbers), np.array([rng.randrange(50, 10**6) for _ in numbers]), {"a": 5000})
+    terms = [[(g, rng.randrange(1, 40)) for g in rng.sample(numbers, rng.randint(1, 12))] for _ in range(60)]
+    rows = [{"lang": "a", "digest": i, "term": None, "counts": np.array(t, divergence._PAIR).tobytes()} for i, t in enumerate(terms)]
+    kind = pa.schema([("lang", pa.string()), ("digest", pa.int64()), ("term", pa.string()), ("counts", pa.binary())])
+    batches = lambda n: (pa.RecordBatch.from_pylist(rows[i:i + n], kind) for i in range(0, len(rows), n))
+
+    def sums(found):
         out = collections.Counter()
-        for b in divergence._overlaps(batches(n)):
+        for b in found:
             for x in b.to_pylist():
-                out[x["one"], x["other"]] += x["value"]
+                out[tuple(x.values())[:2]] += list(x.values())[2]
         return out
+
+    below = dict(zip(numbers, groups.below.tolist()))
+    p = lambda g, n: 1 + 10**9 * (n + 1) // below[g]
     f = lambda x, y: (x - y) ** 2 // y
-    want = collections.Counter()
-    for x in table:
-        for y in table:
-            if x[:2] == y[:2] and x[3] != y[3]:
-                want[x[3], y[3]] += f(x[4], y[4]) - f(x[4], y[5]) - f(x[5], y[4]) + f(x[5], y[5])
-    assert sums(1000) == sums(3) == want
-    monkeypatch.setattr(divergence, "PAIRS", 10)
-    assert sums(7) == want
+    want, heights = collections.Counter(), collections.Counter((g, p(g, n)) for t in terms for g, n in t)
+    for t in terms:
+        for (g, n) in t:
+            for (h, m) in t:
+                if g != h:
+                    want[g, h] += f(p(g, n), p(h, m)) - f(p(g, n), p(h, 0)) - f(p(g, 0), p(h, m)) + f(p(g, 0), p(h, 0))
+    high = {g: sorted((f(p(g, n), q) for t in terms for k, n in t if k == g for q in [1 + 10**9 * (sum(m for _, m in t) + 1) // 5000] if p(g, n) > q), reverse=True) for g in numbers}
+    for pairs in (divergence.PAIRS, 10):
+        monkeypatch.setattr(divergence, "PAIRS", pairs)
+        for size in (1000, 7):
+            assert sums(divergence._overlaps(batches(size), groups)) == want
+            assert sums(divergence._histograms(batches(size), groups)) == heights
+            got = collections.defaultdict(list)
+            for b in divergence._heights(batches(size), groups, 3):
+                for x in b.to_pylist():
+                    got[x["number"]].append(x["value"])
+            assert all(sorted(got[g], reverse=True)[:3] == high[g][:3] for g in numbers)
     monkeypatch.setattr(divergence, "HELD", 20)
-    held, got = divergence._Counts(64), collections.Counter()
+    held, got = divergence._Counts(64, 5), collections.Counter()
     rows = [(a or "", s or "", t or "") for a, s, t in corpus(2, 60) if len(t or "") < 1000]
+
+    def take(found):
+        for b in found:
+            for x in b.to_pylist():
+                got.update({(g, x["term"]): n for g, n in np.frombuffer(x["counts"], divergence._PAIR).tolist()})
     for i in range(0, len(rows), 5):
         held.add([r[:2] for r in rows[i:i + 5]], [r[2] for r in rows[i:i + 5]])
-        for b in held.close() if held.full() else ():
-            for x in b.to_pylist():
-                got[x["lang"], x["source"], x["term"]] += x["n"]
-    for b in held.close():
-        for x in b.to_pylist():
-            got[x["lang"], x["source"], x["term"]] += x["n"]
-    want = collections.Counter((a, s, w) for a, s, t in rows for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)))
-    assert got == want
+        if held.full():
+            take(held.close())
+    take(held.close())
+    find = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    assert got == collections.Counter((divergence.group_number(a, s, 5), w) for a, s, t in rows for w in find(t))
+
+
+def test_shares_beyond_64_bits():
+    n, below = np.array([10**12, 3]), np.array([10**14 + 7, 10**14 + 7])
+    assert divergence.share(n, below).tolist() == [1 + 10**9 * (int(x) + 1) // (10**14 + 7) for x in n]
 
 
 def test_empty(spark):
