@@ -43,17 +43,17 @@ def _points(content: bytes) -> np.ndarray:
 
 
 class Grid:
-    """Origin, side and number of the tiles that cover some layers."""
+    """Origin, side and number of the tiles that cover some layers; ``more``: vertices that each feature will gain."""
 
-    def __init__(self, layers: DataFrame, tile: float | None):
-        box = layers.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy"), F.sum(F.size(G.vertices(F.col("geom"))))).first()
+    def __init__(self, layers: DataFrame, tile: float | None, more: int = 0):
+        box = layers.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy"), F.sum(F.size(G.vertices(F.col("geom"))) + more)).first()
         if box[0] is None:
             self.x0, self.y0, self.side, self.tiles = 0.0, 0.0, 1.0, 1
             return
         wide, high = max(box[2] - box[0], 1e-6), max(box[3] - box[1], 1e-6)
         side = tile or math.sqrt(wide * high * VERTICES / max(box[4] or 1, 1))
         # a power of two, so that lines are exact numbers
-        side = 2.0 ** math.ceil(math.log2(max(side, A.QUANTUM * 1024, max(wide, high) / 2 ** 20)))
+        side = 2.0 ** round(math.log2(max(side, A.QUANTUM * 1024, max(wide, high) / 2 ** 20)))
         self.x0, self.y0, self.side = math.floor(box[0] / side) * side, math.floor(box[1] / side) * side, side
         self.tiles = int(max((box[2] - self.x0) // side, (box[3] - self.y0) // side)) + 1
 
@@ -304,7 +304,7 @@ def overlay_shapes(a: DataFrame, b: DataFrame, how: str, a_id: str = "id", b_id:
     intersection: every a with every b that it meets; difference: every a without all of b; identity: both of these;
     symmetric_difference: a without b, and b without a; union: that and the intersection. An id is null where a piece lies in
     one layer only. Pieces without area are left out; a piece of several parts is one MultiPolygon. Ids are unique within a
-    layer and not null; attributes are joined back by them. ``tile``: side of the tiles, rounded up to a power of two.
+    layer and not null; attributes are joined back by them. ``tile``: side of the tiles, rounded to a power of two.
     """
     if how not in OVERLAYS:
         raise ValueError(f"how must be one of {list(OVERLAYS)}")
@@ -345,7 +345,8 @@ def offset_ring(loop: np.ndarray, d: float, segments: int) -> np.ndarray:
     Outer corners are arcs of the ``segments``-gon; at inner corners it passes the vertex, which leaves
     winding numbers above 0 just where something is within the distance.
     """
-    loop = loop[(loop != np.roll(loop, 1, axis=0)).any(axis=1)]
+    moved = (loop != np.roll(loop, 1, axis=0)).any(axis=1)
+    loop = loop[moved] if moved.any() else loop[:1]
     step = 2 * math.pi / segments
     if len(loop) < 2:
         return np.array([[d * math.cos(k * step), d * math.sin(k * step)] for k in [*range(segments), 0]]) + loop[:1] if len(loop) else np.zeros((0, 2))
@@ -391,7 +392,7 @@ def buffer_shapes(df: DataFrame, d: float, key: str = "id", segments: int = 64,
         for ring in rings:
             yield A.snap(offset_ring(ring[:-1] if len(ring) > 1 else ring, d, segments))
 
-    out = _polygons(_rings_of(shapes, Grid(shapes, tile), "dissolve", curves))
+    out = _polygons(_rings_of(shapes, Grid(shapes, tile, segments), "dissolve", curves))
     return out.select("geom", "area") if dissolve else out.select(F.col("a").cast(dict(df.dtypes)[key]).alias(key), "geom", "area")
 
 
