@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terralane.llm import pretoken
 from terralane.llm.wordhash import hashed_words, mix, shingles
@@ -136,7 +137,8 @@ class Index:
                             s = similarity(bag, self.bags[row])
                             if s >= SIMILARITY and (s, -(at + i)) > best.get(row, (0, 0, 0))[:2]:
                                 best[row] = (s, -(at + i), size)
-        return sorted((self.ids[r], -p, n, s) for r, (s, p, n) in best.items())
+        found = [(self.ids[r], -p, n, s) for r, (s, p, n) in best.items()]
+        return sorted(found, key=lambda f: (True, f[1:]) if f[0] is None else (False, f[0], f[1:]))
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
         words, first = hashed_words(texts)
@@ -184,21 +186,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     Similarity is that of five-word shingles, weighted by how often they occur, in windows of as many
     words as the item (an item of fewer than five words is one shingle); 0.8 or more counts. Null and
     empty texts and items match nothing, copies of an item count once, under their least id; repeated
-    rows are reported each; other columns are left out. Items travel in bounded blocks, documents stay in place.
+    rows are reported each; other columns are left out. Item ids keep their type; an item whose ids are all null
+    is reported with a null id, after the others of its document. Items travel in bounded blocks, documents stay in place.
     """
     given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = given.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, item_id long, first_word int, n_words int, similarity double"
+    of_items = items.schema["item_id"].dataType.simpleString()
+    names = {"item_id": of_items, "first_word": "int", "n_words": "int", "similarity": "double"}
+    schema = ", ".join([f"key {kind}", *(f"{n} {t}" for n, t in names.items())])
     out = None
     for block in item_blocks(items):
-        part = given.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        part = given.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(block), to_arrow_type(items.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
-    return out.withColumnRenamed("key", key)
+    # a key that is called like one of the columns keeps its name, and theirs is lengthened
+    return out.select(F.col("key").alias(key), *[F.col(n).alias(n + "_" if n.lower() == key.lower() else n) for n in names])
 
 
-def _finder(block):
+def _finder(block, item_type: pa.DataType):
+    def ids(found):
+        # without any id the column is still of the items' type
+        return pa.array([f[0] for _, f in found]).cast(item_type)
+
     def run(batches):
         index = _index(block.value)
         for batch in batches:
@@ -207,7 +217,7 @@ def _finder(block):
                 if found:
                     yield pa.RecordBatch.from_arrays([
                         batch.column("key").slice(start, len(texts)).take(pa.array([i for i, _ in found])),
-                        pa.array([f[0] for _, f in found], pa.int64()), pa.array([f[1] for _, f in found], pa.int32()),
+                        ids(found), pa.array([f[1] for _, f in found], pa.int32()),
                         pa.array([f[2] for _, f in found], pa.int32()), pa.array([f[3] for _, f in found], pa.float64())],
                         ["key", "item_id", "first_word", "n_words", "similarity"])
     return run

@@ -76,6 +76,16 @@ def test_blocks_of_items(spark, monkeypatch):
     assert D.without_leaks(docs, items).count() == 0
 
 
+def test_null_and_text_item_ids(spark):
+    docs = spark.createDataFrame([("d", "alpha beta gamma delta epsilon zeta one two three four five six"), (None, "one two three four five six")], "item_id string, text string")
+    texts = ["one two three four five six", "alpha beta gamma delta epsilon zeta", None]
+    for ids, kind in (((None, "b", "c"), "string"), ((None, 5, 6), "int"), ((None, None, None), "long")):
+        items = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+        out = D.find_leaks(docs, items, key="item_id")
+        assert out.columns == ["item_id", "item_id_", "first_word", "n_words", "similarity"] and dict(out.dtypes)["item_id_"] == items.schema["item_id"].dataType.simpleString()
+        assert sorted([(r["item_id"], r["item_id_"], r["first_word"]) for r in out.collect()], key=str) == sorted([("d", None, 6), ("d", ids[1], 0), (None, None, 0)], key=str)
+
+
 def test_given_documents(spark):
     docs = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
     items = duckdb.sql("select item_id, text from '/root/testdata/sf0.01/benchmark.parquet'").fetchall()
