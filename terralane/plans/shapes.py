@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from terralane.functions import geometry as G
 from terralane.operators import shapes as S
+from terralane.operators import topology as T
+from terralane.operators import voronoi as V
+from terralane.operators.joins import BOX, spatial_join_agg
 from terralane.plans.joins import boxed
 from terralane.plans.layers import notched, rounded
 from terralane.plans.registry import query
@@ -107,3 +110,37 @@ def _(fx):
     line = F.array(G.xy(F.col("minx"), F.col("miny")), G.xy(F.col("maxx"), F.col("maxy")))
     lines = boxed(fx.parcels).withColumn("geom", G.geometry("LineString", F.array(line)))
     return rounded(S.buffer_shapes(lines, 1.5), 6, "area").select("id", "area")
+
+
+# a lattice of 40 x 40 plots whose shared borders have a middle vertex up to one unit aside; those within 0.6 go
+@query("simplify_topology_p11", """
+with s as (select p_partkey as id, p_partkey%100 as a, p_partkey//100 as b from part),
+o as (select id, (((a*7+b*3)%5)-2)*0.5e0 as low, (((a+1)*5+b*11)%5-2)*0.5e0 as rgt, ((a*7+(b+1)*3)%5-2)*0.5e0 as upp, ((a*5+b*11)%5-2)*0.5e0 as lft from s)
+select id, cast(9 as int) as vertices_before, cast(5+(abs(low)>0.6)::int+(abs(rgt)>0.6)::int+(abs(upp)>0.6)::int+(abs(lft)>0.6)::int as int) as vertices_after,
+ 1600+20*(if(abs(rgt)>0.6,rgt,0)-if(abs(lft)>0.6,lft,0)+if(abs(upp)>0.6,upp,0)-if(abs(low)>0.6,low,0)) as area from o""")
+def _(fx):
+    plots = fx.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("a"), F.floor(F.col("p_partkey") / 100).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    aside = lambda x: (F.pmod(x, F.lit(5)) - 2) * 0.5
+    low, right, up, left = aside(a * 7 + b * 3), aside((a + 1) * 5 + b * 11), aside(a * 7 + (b + 1) * 3), aside(a * 5 + b * 11)
+    x, y = a * 40.0, b * 40.0
+    ring = F.array(G.xy(x, y), G.xy(x + 20, y + low), G.xy(x + 40, y), G.xy(x + 40 + right, y + 20), G.xy(x + 40, y + 40),
+                   G.xy(x + 20, y + 40 + up), G.xy(x, y + 40), G.xy(x + left, y + 20), G.xy(x, y))
+    out = T.simplify_topology(plots.select("id", G.geometry("Polygon", F.array(ring)).alias("geom")), 0.6)
+    return rounded(out.withColumn("area", G.polygon_area(F.col("geom"))), 6, "area").select("id", "vertices_before", "vertices_after", "area")
+
+
+# cell middles of a grid fall into the polygon of their nearest seed
+@query("voronoi_shapes_o10", """
+with b as (select min(x)-0.01e0 as x0, min(y)-0.01e0 as y0, max(x)+0.01e0 as x1, max(y)+0.01e0 as y1 from fx_facilities),
+g as (select i, (i%60+0.5e0)*((x1-x0)/60)+x0 as x, (i//60+0.5e0)*((y1-y0)/50)+y0 as y from (select unnest(generate_series(0,2999)) as i) cross join b),
+n as (select i, arg_min(f.id, sqrt((g.x-f.x)*(g.x-f.x)+(g.y-f.y)*(g.y-f.y))) as id from g cross join fx_facilities f group by i)
+select f.id, count(n.i) as middles, (select round((x1-x0)*(y1-y0), 6) from b) as whole from fx_facilities f left join n on n.id=f.id group by f.id""")
+def _(fx):
+    cells = G.with_bounds(V.voronoi(fx.facilities))
+    x0, y0, x1, y1 = (F.min("x") - 0.01).alias("x0"), (F.min("y") - 0.01).alias("y0"), (F.max("x") + 0.01).alias("x1"), (F.max("y") + 0.01).alias("y1")
+    grid = fx.facilities.agg(x0, y0, x1, y1).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2999).cast("long"))))
+    grid = grid.select(F.col("i").alias("id"), ((F.col("i") % 60 + 0.5) * ((F.col("x1") - F.col("x0")) / 60) + F.col("x0")).alias("x"),
+                       ((F.floor(F.col("i") / 60) + 0.5) * ((F.col("y1") - F.col("y0")) / 50) + F.col("y0")).alias("y"))
+    counted = spatial_join_agg(cells.select("id", "geom", *BOX), grid, {"middles": ("count", "*")}).select("id", "middles")
+    return counted.crossJoin(F.broadcast(cells.agg(F.round(F.sum("area"), 6).alias("whole"))))
