@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terralane.functions import crs as C
 from terralane.functions import geometry as G
-from terralane.session import require
+from terralane.session import require, spread
 
 # Unit factors from square metres and metres.
 AREA_UNITS = {"sqm": 1.0, "sqkm": 1e6, "ha": 1e4}
@@ -187,7 +187,7 @@ def simplify_layer(df: DataFrame, tol: float = 0.001) -> DataFrame:
             yield pd.Series(out)
 
     before = F.size(G.vertices(F.col("geom")))
-    out = df.withColumn("vertices_before", before).withColumn("_rings", simplify("geom.rings"))
+    out = spread(df, F.xxhash64("geom")).withColumn("vertices_before", before).withColumn("_rings", simplify("geom.rings"))
     out = out.withColumn("geom", F.struct(F.col("geom.type").alias("type"),
                                           F.col("_rings").alias("rings"))).drop("_rings")
     return out.withColumn("vertices_after", F.size(G.vertices(F.col("geom"))))

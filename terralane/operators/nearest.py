@@ -1,43 +1,52 @@
 """Exact nearest and k-nearest joins.
 
 The right side is summarised into a pyramid of grid cells (count and tight bounds per
-cell, built by map-side combined aggregates). Every left point keeps the cells that can
-still hold one of its k nearest points: a cell is dropped when its smallest possible
-distance exceeds the largest distance of enough closer points. Hot cells and far clusters
-cost a few extra levels instead of all pairs, so no group of the right side is ever
-compared whole with a group of the left side.
+cell, built by map-side combined aggregates). Left points are searched for together, by
+small cells with tight bounds: a left cell keeps the right cells that can still hold one of
+the k nearest points of any of its points. A right cell is dropped when its smallest possible
+distance exceeds the largest distance of enough closer points. The points of a left cell
+are then compared with those of its right cells at once, in blocks of bounded size, so hot cells
+on either side and far clusters cost extra levels or blocks, never all pairs.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from terralane.functions.geometry import EARTH_RADIUS, distance
+from terralane.functions.geometry import EARTH_RADIUS
 from terralane.session import require
 
 STEP = 2                    # levels per descent step: 4 x 4 children per cell
 FINEST = 24                 # deepest level of the pyramid
 LEAF_ROWS = 256             # a leaf cell with more rows than this is split further
 BROADCAST_ROWS = 300_000    # pyramid levels up to this many rows are broadcast
+TOGETHER = 64               # left points per left cell, on average
+BLOCK = 1024                # left points compared in one group, on average at most
+_PAIRS = 1 << 21            # distances computed at once
 
 
-def _bounds(metric: str, x, y, x0, y0, x1, y1) -> tuple[Column, Column]:
-    """Smallest and largest possible distance from a point to a box."""
+def _bounds(metric: str) -> tuple[Column, Column]:
+    """Smallest and largest possible distance from the box ax0..ay1 to the box x0..y1."""
     zero = F.lit(0.0)
-    gap_x = F.greatest(zero, x0 - x, x - x1)
-    gap_y = F.greatest(zero, y0 - y, y - y1)
-    far_x = F.greatest(F.abs(x - x0), F.abs(x - x1))
-    far_y = F.greatest(F.abs(y - y0), F.abs(y - y1))
+    c = F.col
+    gap_x = F.greatest(zero, c("x0") - c("ax1"), c("ax0") - c("x1"))
+    gap_y = F.greatest(zero, c("y0") - c("ay1"), c("ay0") - c("y1"))
+    far_x = F.greatest(F.abs(c("x1") - c("ax0")), F.abs(c("ax1") - c("x0")))
+    far_y = F.greatest(F.abs(c("y1") - c("ay0")), F.abs(c("ay1") - c("y0")))
     if metric == "euclidean":
         return F.sqrt(gap_x * gap_x + gap_y * gap_y), F.sqrt(far_x * far_x + far_y * far_y)
     # the distance to a meridian bounds the longitude gap; a path along the meridian and
     # then along the parallel bounds the farthest corner
+    steepest = F.greatest(F.abs(c("ay0")), F.abs(c("ay1")))
+    flattest = F.when((c("ay0") <= 0) & (c("ay1") >= 0), zero).otherwise(F.least(F.abs(c("ay0")), F.abs(c("ay1"))))
     gap_x = F.greatest(zero, F.least(gap_x, F.lit(360.0) - far_x, F.lit(90.0)))
-    east_west = F.asin(F.least(F.lit(1.0), F.abs(F.cos(F.radians(y))) * F.sin(F.radians(gap_x))))
+    east_west = F.asin(F.least(F.lit(1.0), F.abs(F.cos(F.radians(steepest))) * F.sin(F.radians(gap_x))))
     near = F.greatest(F.radians(gap_y), east_west)
-    far = F.radians(far_y) + F.abs(F.cos(F.radians(y))) * F.radians(F.least(far_x, F.lit(180.0)))
+    far = F.radians(far_y) + F.abs(F.cos(F.radians(flattest))) * F.radians(F.least(far_x, F.lit(180.0)))
     # one part in 1e9 of slack absorbs rounding in the trigonometric bounds
     return near * (EARTH_RADIUS * (1 - 1e-9)), far * (EARTH_RADIUS * (1 + 1e-9)) + 1e-6
 
@@ -95,10 +104,13 @@ def _result_schema(left: DataFrame, points: DataFrame) -> str:
 
 def _pyramid_join(left: DataFrame, points: DataFrame, k: int, want: int, max_distance: float | None,
                   metric: str, exclude_self: bool) -> DataFrame:
-    """Descend the cell pyramid of a large right side."""
+    """Descend the cell pyramid of the right side with the cells of the left side."""
+    if metric not in ("euclidean", "haversine"):
+        raise ValueError(f"unknown metric {metric!r}; use euclidean or haversine")
     n, x0, y0, x1, y1 = points.agg(F.count("*"), F.min("bx"), F.min("by"),
                                    F.max("bx"), F.max("by")).first()
-    if n == 0:
+    m, ax0, ay0, ax1, ay1 = left.agg(F.count("*"), F.min("ax"), F.min("ay"), F.max("ax"), F.max("ay")).first()
+    if n == 0 or m == 0:
         return left.sparkSession.createDataFrame([], _result_schema(left, points))
     unit = max(x1 - x0, y1 - y0, 1e-12) * (1 + 1e-9) / 2**FINEST
     top = 2**FINEST - 1
@@ -107,9 +119,17 @@ def _pyramid_join(left: DataFrame, points: DataFrame, k: int, want: int, max_dis
         "iy": F.least(F.floor((F.col("by") - y0) / unit), F.lit(top)).cast("long")})
     points, depth = _pyramid_depth(points, n, want)
 
-    # one shuffle by the left id; broadcast levels and the regroupings keep it
-    q = left.repartition("aid").withColumns({"cx": F.lit(0).cast("long"),
-                                             "cy": F.lit(0).cast("long")})
+    side = max(math.sqrt(max(ax1 - ax0, 1e-12) * max(ay1 - ay0, 1e-12) * TOGETHER / m),
+               max(ax1 - ax0, ay1 - ay0, 1e-12) / 2**30)
+    left = left.withColumns({"lx": F.floor((F.col("ax") - ax0) / side).cast("long"),
+                             "ly": F.floor((F.col("ay") - ay0) / side).cast("long")})
+    cells = left.groupBy("lx", "ly").agg(
+        F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.min("ax").alias("ax0"), F.max("ax").alias("ax1"),
+        F.min("ay").alias("ay0"), F.max("ay").alias("ay1"))
+    box = ["lx", "ly", "blocks", "ax0", "ax1", "ay0", "ay1"]
+    q = cells.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})
+    near, far = _bounds(metric)
+    closest = W.partitionBy("lx", "ly").orderBy("far", "nx", "ny").rowsBetween(W.unboundedPreceding, W.currentRow)
     for level in range(STEP, depth + 1, STEP):
         nodes = (points.groupBy(_cell("ix", level).alias("nx"), _cell("iy", level).alias("ny"))
                  .agg(F.count("*").alias("cnt"), F.min("bx").alias("x0"), F.max("bx").alias("x1"),
@@ -117,48 +137,59 @@ def _pyramid_join(left: DataFrame, points: DataFrame, k: int, want: int, max_dis
                  .withColumns({"px": F.shiftright("nx", STEP), "py": F.shiftright("ny", STEP)}))
         if min(4**level, n) <= BROADCAST_ROWS:
             nodes = F.broadcast(nodes)
-        near, far = _bounds(metric, F.col("ax"), F.col("ay"), F.col("x0"), F.col("y0"),
-                            F.col("x1"), F.col("y1"))
-        q = (q.join(nodes, (q.cx == nodes.px) & (q.cy == nodes.py))
-             .select("aid", "ax", "ay", "nx", "ny", "cnt", near.alias("near"), far.alias("far")))
+        q = q.join(nodes, (q.cx == nodes.px) & (q.cy == nodes.py)).select(*box, "nx", "ny", "cnt", near.alias("near"), far.alias("far"))
         if max_distance is not None:
             q = q.filter(F.col("near") <= max_distance)
-        if want == 1:
-            reach = F.array_min(F.transform("cells", lambda c: c["far"]))
-        else:
-            start = F.struct(F.lit(0).cast("long").alias("have"),
-                             F.lit(float("inf")).alias("reach"))
-            reach = F.aggregate(
-                F.array_sort("cells"), start,
-                lambda acc, c: F.when(acc["have"] >= want, acc).otherwise(F.struct(
-                    (acc["have"] + c["cnt"]).alias("have"),
-                    F.when(acc["have"] + c["cnt"] >= want, c["far"])
-                    .otherwise(F.lit(float("inf"))).alias("reach"))))["reach"]
-        q = (q.groupBy("aid", "ax", "ay")
-             .agg(F.collect_list(F.struct("far", "cnt", "nx", "ny", "near")).alias("cells"))
-             .withColumn("reach", reach)
-             .select("aid", "ax", "ay", F.explode(F.filter(
-                 "cells", lambda c: c["near"] <= F.col("reach"))).alias("c"))
-             .select("aid", "ax", "ay", F.col("c.nx").alias("cx"), F.col("c.ny").alias("cy")))
-
-    leaves = points.select("bid", "bx", "by", _cell("ix", depth).alias("lx"),
-                           _cell("iy", depth).alias("ly"))
-    if n <= BROADCAST_ROWS:
-        leaves = F.broadcast(leaves)
-    pairs = (q.join(leaves, (q.cx == leaves.lx) & (q.cy == leaves.ly))
-             .select("aid", "bid", distance(metric, F.col("ax"), F.col("ay"),
-                                            F.col("bx"), F.col("by")).alias("dist")))
-    if max_distance is not None:
-        pairs = pairs.filter(F.col("dist") <= max_distance)
-    if exclude_self:
-        pairs = pairs.filter(F.col("aid") != F.col("bid"))
-    if k == 1:
-        best = pairs.groupBy("aid").agg(F.min(F.struct("dist", "bid")).alias("m"))
-        return best.select(F.col("aid").alias("a_id"), F.col("m.bid").alias("b_id"),
-                           F.col("m.dist").alias("dist"), F.lit(1).alias("rank"))
-    order = W.partitionBy("aid").orderBy("dist", "bid")
-    return (pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select(F.col("aid").alias("a_id"), F.col("bid").alias("b_id"), "dist", "rank"))
+        # the least distance within which enough points lie for every point of the left cell
+        q = q.withColumn("have", F.sum("cnt").over(closest))
+        q = q.withColumn("reach", F.min(F.when(F.col("have") >= want, F.col("far"))).over(W.partitionBy("lx", "ly")))
+        q = q.filter(F.col("reach").isNull() | (F.col("near") <= F.col("reach"))).select(*box, F.col("nx").alias("cx"), F.col("ny").alias("cy"))
+
+    leaves = points.select("bid", "bx", "by", _cell("ix", depth).alias("qx"), _cell("iy", depth).alias("qy"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    right = q.join(leaves, (q.cx == leaves.qx) & (q.cy == leaves.qy)).select(
+        F.col("lx").alias("rx"), F.col("ly").alias("ry"), block.alias("rb"), "bid", "bx", "by")
+    sizes = cells.select("lx", "ly", "blocks")
+    own = left.join(sizes, ["lx", "ly"]).select("lx", "ly", F.pmod(F.xxhash64("aid"), F.col("blocks")).alias("block"), "aid", "ax", "ay")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_of(a, b, k, max_distance, metric, exclude_self)
+
+    return own.groupBy("lx", "ly", "block").cogroup(right.groupBy("rx", "ry", "rb")).applyInPandas(compare, _result_schema(left, points))
+
+
+def _distances(metric: str, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    if metric == "euclidean":
+        return np.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+    ax, ay, bx, by = (np.radians(c) for c in (ax, ay, bx, by))
+    s1, s2 = np.sin((by - ay) / 2), np.sin((bx - ax) / 2)
+    h = s1 * s1 + np.cos(ay) * np.cos(by) * s2 * s2
+    return 2.0 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
+def _nearest_of(a: pd.DataFrame, b: pd.DataFrame, k: int, max_distance: float | None, metric: str, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest rows of one block of right points for each row of one block of left points; ties to the lowest id."""
+    b = b.sort_values("bid", kind="stable")
+    aid, bid = a["aid"].to_numpy(), b["bid"].to_numpy()
+    ax, ay, bx, by = (c.to_numpy(float) for c in (a["ax"], a["ay"], b["bx"], b["by"]))
+    out = [(aid[:0], bid[:0], np.zeros(0), np.zeros(0, np.int32))]
+    step = max(1, _PAIRS // max(1, len(b)))
+    for at in range(0, len(a) if len(b) else 0, step):
+        part = slice(at, at + step)
+        d = _distances(metric, ax[part, None], ay[part, None], bx[None], by[None])
+        if exclude_self:
+            d[aid[part, None] == bid[None]] = np.inf
+        last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(d), np.inf)
+        row, col = np.nonzero((d <= last[:, None]) & (d < np.inf) & (d <= (np.inf if max_distance is None else max_distance)))
+        dist = d[row, col]
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        first = np.searchsorted(row, row)
+        rank = np.arange(len(row)) - first
+        kept = rank < k
+        out.append((aid[part][row[kept]], bid[col[kept]], dist[kept], (rank[kept] + 1).astype(np.int32)))
+    a_id, b_id, dist, rank = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"a_id": a_id, "b_id": b_id, "dist": dist, "rank": rank})
 
 
 def nearest_join(a: DataFrame, b: DataFrame, max_distance: float | None = None,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terralane.functions import geometry as G
 from terralane.operators.joins import BOX, bbox_pairs
 from terralane.operators.nearest import knn_join
-from terralane.session import require
+from terralane.session import require, spread
 
 SLIVER = 1e-12     # exact pieces with less area are empty
 OVERLAYS = {"intersection": "inner", "union": "full", "difference": "left_anti", "identity": "left",
@@ -48,9 +48,14 @@ def intersect_convex(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "
     hole = b.filter(~is_convex(F.col("geom"))).limit(1).count()
     if hole:
         raise ValueError("the clip layer has polygons that are not convex; use overlay() on cells")
-    rings = F.filter(F.transform(F.col("a_geom.rings"),
-                                 lambda r: G.clip_convex(r, F.col("b_geom.rings")[0])),
-                     lambda r: F.size(r) > 0)
+    pairs = spread(pairs.withColumn("_box", G.is_own_box(F.col("b_geom"), *[F.col("b_" + c) for c in BOX])), "a_id", "b_id")
+    # what lies in a box needs no clipping by it
+    inside = (F.col("_box") & (F.col("a_minx") >= F.col("b_minx")) & (F.col("a_maxx") <= F.col("b_maxx"))
+              & (F.col("a_miny") >= F.col("b_miny")) & (F.col("a_maxy") <= F.col("b_maxy")))
+    clipped = F.filter(F.transform(F.col("a_geom.rings"),
+                                   lambda r: G.clip_convex(r, F.col("b_geom.rings")[0])),
+                       lambda r: F.size(r) > 0)
+    rings = F.when(inside, F.col("a_geom.rings")).otherwise(clipped)
     out = pairs.select("a_id", "b_id", G.geometry("Polygon", rings).alias("geom"))
     out = out.withColumn("area", G.polygon_area(F.col("geom")))
     return out.filter(F.col("area") > SLIVER)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terralane.operators.accumulate import attach_row
-from terralane.session import require
+from terralane.session import require, spread
 
 # Ranking constants, confidence bands and extraction patterns.
 BM25_K1, BM25_B = 1.5, 0.75
@@ -47,7 +47,7 @@ def bm25(docs: DataFrame, query: str, k: int = 5, doc_id: str = "doc_id", text:
     if not terms:
         return docs.select(doc_id).withColumn("score", F.lit(0.0)).limit(0)
     distinct = sorted(set(terms))
-    words = docs.select(doc_id, tokens(F.col(text)).alias("_w"))
+    words = spread(docs.select(doc_id, text), doc_id).select(doc_id, tokens(F.col(text)).alias("_w"))
     base = words.select(doc_id, F.size("_w").alias("_len"), F.filter("_w", lambda w: w.isin(distinct)).alias("_t"))
     counts = base.select(doc_id, "_len", *[
         F.size(F.filter("_t", _equals(t))).alias(f"_f{i}")
@@ -132,7 +132,7 @@ def split_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # split before every heading line; a heading at the very start leaves no part before it
     shift = F.when(F.col(text).rlike("^#{1,3} "), 1).otherwise(0)
     parts = F.transform(F.split(text, "(?m)(?=^#{1,3} )"), lambda p, i: F.struct((i + shift).alias("section"), p.alias("body")))
-    out = docs.select(doc_id, source, F.explode(parts).alias("p"))
+    out = spread(docs, doc_id).select(doc_id, source, F.explode(parts).alias("p"))
     first_line = F.regexp_extract("p.body", "^#{1,3} ([^\n]*)", 1)
     body = F.regexp_replace("p.body", "^#{1,3} [^\n]*\n?", "")
     rows = out.select(doc_id, source, F.col("p.section").cast("long").alias("section"), first_line.alias("heading"),

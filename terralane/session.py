@@ -58,6 +58,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Rows dealt out by a key over all shuffle partitions, before work that is heavy for each row.
+
+    A table may come in one file or a join in few partitions; adaptive execution merges by bytes, not by work, and leaves a stated number alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Fail before planning when a column is missing, naming those available."""
     missing = [c for c in columns if c not in df.columns]
