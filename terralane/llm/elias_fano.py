@@ -62,10 +62,27 @@ class EliasFano:
             low = piece >> start % 8 & (1 << self.width) - 1
         return (self.select(i) - i) << self.width | low
 
-    def all(self) -> np.ndarray:
-        if not self.count:
+    def part(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` (a multiple of SAMPLE) to ``stop``, read from the sample of the first to that of the next after the last."""
+        if start % SAMPLE:
+            raise ValueError(f"parts start at multiples of {SAMPLE}")
+        stop = min(stop, self.count)
+        if start >= stop:
             return np.zeros(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.count * self.width)
-        low = (bits.reshape(self.count, self.width).astype(np.int64) << np.arange(self.width)).sum(axis=1)
-        return (places - np.arange(self.count) << self.width) + low
+        samples = np.frombuffer(self.samples, "<u4")
+        begin, after = int(samples[start // SAMPLE]), -(-stop // SAMPLE)
+        end = int(samples[after]) if after < len(samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, -(-end // 8) - begin // 8, begin // 8), bitorder="little")
+        places = (np.flatnonzero(bits) + begin // 8 * 8)
+        places = places[np.searchsorted(places, begin):][:stop - start]
+        return (places - np.arange(start, stop) << self.width) + self._low(start, stop)
+
+    def _low(self, start: int, stop: int) -> np.ndarray:
+        if not self.width:
+            return np.zeros(stop - start, np.int64)
+        at, end = start * self.width, stop * self.width
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-end // 8) - at // 8, at // 8), bitorder="little")[at % 8:at % 8 + end - at]
+        return (bits.reshape(stop - start, self.width).astype(np.int64) << np.arange(self.width)).sum(axis=1)
+
+    def all(self) -> np.ndarray:
+        return self.part(0, self.count)

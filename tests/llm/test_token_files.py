@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from terralane.llm import token_files
-from terralane.llm.elias_fano import EliasFano
+from terralane.llm.elias_fano import SAMPLE, EliasFano
 
 
 @given(st.lists(st.integers(0, 1 << 40), max_size=400))
@@ -22,6 +22,9 @@ def test_elias_fano(values):
     code = EliasFano.of(np.array(values, np.int64))
     assert code.all().tolist() == values
     assert [code[i] for i in range(len(values))] == values
+    for start in range(0, len(values) + SAMPLE, SAMPLE):
+        for stop in (start + 1, start + SAMPLE, start + 2 * SAMPLE + 7):
+            assert code.part(start, stop).tolist() == values[start:stop]
 
 
 def test_elias_fano_is_small_and_refuses_disorder():
@@ -60,6 +63,18 @@ def test_files(spark, tmp_path, monkeypatch, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_documents_by_key(spark, tmp_path):
+    """Single documents by halving and select equal the rows of the whole read."""
+    rows = [(None, "none"), *((7 * i - 500, f"text {i} " * (i % 9)) for i in range(3000)), (67, "twice"), (10**12, "far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_files.write_token_files(df, str(tmp_path / "t"), P.path("byte_bpe_50k.json"))
+    whole = [tuple(r) for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect()]
+    keys = [-500, 67, 71, 7 * 2999 - 500, 10**12, -10**9]
+    got = [tuple(r) for r in token_files.read_documents(spark, str(tmp_path / "t"), keys).collect()]
+    assert sorted(got) == sorted(r for r in whole if r[0] in keys) and len(got) == 5
+    assert token_files.read_documents(spark, str(tmp_path / "t"), []).count() == 0
+
+
 def test_other_tokenizers_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "Some  Words here"), (2, "")], "doc_id long, text string")
     path = P.path("word_bpe_49k.json")
@@ -77,3 +92,16 @@ def test_joined_pieces_are_those_of_the_library():
     tool = token_files.LibraryEncoder(content)
     found = [np.frombuffer(ids, f"<u{tool.id_bytes}").tolist() for ids in tool.encode(texts)]
     assert found == [e.ids for e in Tokenizer.from_str(content.decode()).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_known_pieces_are_forgotten_in_time(monkeypatch):
+    """With room for few pieces, and over many chunks, ids stay those of the library."""
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 50)
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        content = f.read()
+    choose, tool = random.Random(6), token_files.LibraryEncoder(content)
+    plain = Tokenizer.from_str(content.decode())
+    for _ in range(40):
+        texts = [" ".join(choose.choice("abcdefgh") * choose.randint(1, 5) for _ in range(30)) for _ in range(3)] + ["", "x" * 3000]
+        found = [np.frombuffer(ids, f"<u{tool.id_bytes}").tolist() for ids in tool.encode(texts)]
+        assert found == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
