@@ -11,19 +11,16 @@ from terralane.operators import siting as S
 from terralane.plans.joins import boxed, hav
 from terralane.plans.layers import notched, rounded
 from terralane.plans.rasters import GRID
+from terralane.plans.shapes import holed_zones
 from terralane.plans.registry import query
 
-# whole-unit cells of the parcels and of the zones
+# whole-unit cells of the parcels and of the zones, which have a square hole each
 ACOV = "a as (select id, cx, cy from fx_parcels, unnest(generate_series(cast(minx as bigint), cast(maxx as bigint)-1)) x(cx), unnest(generate_series(cast(miny as bigint), cast(maxy as bigint)-1)) y(cy))"
-BCOV = "b as (select id, cx, cy from fx_zones, unnest(generate_series(cast(minx as bigint), cast(maxx as bigint)-1)) x(cx), unnest(generate_series(cast(miny as bigint), cast(maxy as bigint)-1)) y(cy) where landuse<2)"
-
-
-def some_zones(fx):
-    return boxed(fx.zones.filter("landuse < 2"))
+BCOV = "b as (select id, cx, cy from fx_zones, unnest(generate_series(cast(minx as bigint), cast(maxx as bigint)-1)) x(cx), unnest(generate_series(cast(miny as bigint), cast(maxy as bigint)-1)) y(cy) where not (cx>=minx+12 and cx<minx+28 and cy>=miny+12 and cy<miny+28))"
 
 
 def overlaid(fx, how):
-    cells = O.overlay(boxed(fx.parcels), some_zones(fx), how, 1.0)
+    cells = O.overlay(boxed(fx.parcels), holed_zones(fx), how, 1.0)
     return O.overlay_area(cells, 1.0)
 
 
@@ -79,7 +76,7 @@ def _(fx):
 @query("clip_cells_of_layer_o5", f"""
 with {ACOV}, {BCOV} select id, count(*) as cells from a where exists (select 1 from b where b.cx=a.cx and b.cy=a.cy) group by id""")
 def _(fx):
-    return O.clip_coverage(boxed(fx.parcels), some_zones(fx), 1.0).groupBy("id").agg(F.count("*").alias("cells"))
+    return O.clip_coverage(boxed(fx.parcels), holed_zones(fx), 1.0).groupBy("id").agg(F.count("*").alias("cells"))
 
 
 @query("overlay_identity_o6", f"""
@@ -219,16 +216,16 @@ def _(fx):
 
 
 @query("constrain_area_lines_t14", """
-with z as (select cast(x*10 as bigint)*1000+cast(y*10 as bigint) as id, x+0.5e0 as x, y+0.5e0 as y from
- (select unnest(generate_series(0,200)) as x) cross join (select unnest(generate_series(0,200)) as y))
+with z as (select x*10000+y*10 as id, 2*x+1.0e0 as x, 2*y+1.0e0 as y from
+ (select unnest(generate_series(0,319)) as x) cross join (select unnest(generate_series(0,319)) as y))
 select z.id from z where exists (select 1 from fx_parcels p where
  sqrt(power(greatest(0,p.minx-z.x,z.x-p.maxx),2)+power(greatest(0,p.miny-z.y,z.y-p.maxy),2))<=1.2)""")
 def _(fx):
-    side = 201
+    side = 320        # cells of two units over the whole plane of the parcels
     k = F.col("id")
     cells = fx.spark.range(side * side).select(
-        (F.floor(k / side) * 10000 + (k % side) * 10).alias("id"), (F.floor(k / side) + 0.5).alias("x"),
-        (k % side + 0.5).alias("y"))
+        (F.floor(k / side) * 10000 + (k % side) * 10).alias("id"), (F.floor(k / side) * 2 + 1.0).alias("x"),
+        (k % side * 2 + 1.0).alias("y"))
     return S.constrain_area(cells, {"parcel": boxed(fx.parcels)}, [("parcel", "distance<=1.2")]).select("id")
 
 
@@ -275,7 +272,7 @@ def _(fx):
 
 @query("mcda_grid_t18", """
 with g as (select i as id, 30.0e0*(i//19+1) as x, 30.0e0*(i%19+1) as y from (select unnest(generate_series(0,18*19-1)) as i)),
-n as (select cast(minx as double) as x, cast(miny as double) as y from fx_parcels where id%50=0),
+n as (select cast(minx as double) as x, cast(miny as double) as y from fx_parcels),
 d as (select g.id, min(sqrt(power(g.x-n.x,2)+power(g.y-n.y,2))) as d from g cross join n group by g.id),
 b as (select g.id, sum((p.maxx-p.minx)*(p.maxy-p.miny)) as a from g join fx_parcels p on p.minx<=g.x+15 and p.maxx>=g.x-15 and p.miny<=g.y+15 and p.maxy>=g.y-15 group by g.id),
 s as (select g.id, g.x, g.y, 1-d.d/max(d.d) over () as road, coalesce(b.a,0)/max(coalesce(b.a,0)) over () as pop from g join d using (id) left join b using (id)),
@@ -283,7 +280,7 @@ t as (select *, 0.5e0*road+0.3e0*pop+0.1e0 as sc from s)
 select id, x, y, round(road,6) as road_access, round(pop,6) as pop_density, round(sc,6) as total_score,
 row_number() over (order by sc desc, id) as rank from t order by sc desc, id limit 15""")
 def _(fx):
-    nodes = fx.parcels.filter("id % 50 = 0").select("id", F.col("minx").alias("x"), F.col("miny").alias("y"))
+    nodes = fx.parcels.select("id", F.col("minx").alias("x"), F.col("miny").alias("y"))
     out = S.mcda_grid((0, 0, 570, 600), nodes, boxed(fx.parcels),
                       {"road_access": 0.5, "pop_density": 0.3, "vegetation": 0.2}, 15, step=30.0)
     return rounded(out, 6, "road_access", "pop_density", "total_score")

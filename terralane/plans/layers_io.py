@@ -68,11 +68,11 @@ def _(fx):
     return fx.spark.read.orc(path).select("id", "kind", "minx", "maxy")
 
 
-@query("split_layer_s7", "select kind, count(*) as n, sum(id)::bigint as ids from fx_parcels where kind>=5 group by kind")
+@query("split_layer_s7", "select kind, count(*) as n, sum(id)::bigint as ids from fx_parcels group by kind")
 def _(fx):
     path = fresh_folder(fx)
     S.split_layer(boxed(fx.parcels), path, "kind")
-    back = fx.spark.read.parquet(path).filter(F.col("kind") >= 5)
+    back = fx.spark.read.parquet(path)
     return back.groupBy(F.col("kind").cast("long").alias("kind")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
