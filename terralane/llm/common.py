@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut that survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: it does so for plans that nothing refers to any more, when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a ``stored`` frame. What was computed from it must itself be written by then."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralane.llm.common import stored
+from terralane.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while not _settled(edges):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        after = stored(_small_star(_large_star(edges)), "stars")
+        discard(edges)
+        edges = after
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
