@@ -17,8 +17,8 @@ from terralane.llm.common import fresh, words_of
 
 #: Hashed n-grams fall into so many buckets; the fitted weights are one array of this length.
 BUCKETS = 10_000
-#: Trusted documents the target counts are fitted on, at most; those with the least hashes of their ids.
-TRUSTED_LIMIT = 50_000
+#: Keys of trusted documents are listed to every task up to this number; more are joined by shuffles.
+LISTED = 2_000_000
 #: Pseudo-count of each bucket.
 SMOOTHING = 0.5
 #: Weights are whole multiples of 1 / SCALE, so that sums don't depend on their order.
@@ -112,13 +112,12 @@ def _scores(m: Materialised, weights: list[int], buckets: int) -> None:
 def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> Ratio:
     """Log ratio of the trusted and the raw multinomial for each bucket, as whole multiples of 1 / SCALE.
 
-    Raw counts cover every document. ``trusted`` holds keys of trusted documents, of which
-    ``TRUSTED_LIMIT`` at most are broadcast. Without trusted documents or n-grams all weights
-    are 0. ``within`` is the variance of one n-gram's weight in trusted texts, ``between`` what
+    Raw counts cover every document and target counts every trusted one. ``trusted`` holds the keys of
+    trusted documents. Without trusted documents or n-grams all weights are 0. ``within`` is the variance of one n-gram's weight in trusted texts, ``between`` what
     the variance of their scores has beyond it.
     """
-    chosen = F.broadcast(trusted.select(F.col(key).alias("trusted_key")).dropna().distinct()
-                         .orderBy(F.xxhash64("trusted_key"), "trusted_key").limit(TRUSTED_LIMIT))
+    chosen = trusted.select(F.col(key).alias("trusted_key")).dropna().distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= LISTED else chosen.hint("merge")
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body"))
     is_trusted = F.col("key") == F.col("trusted_key")
     m = Materialised(texts.join(chosen, is_trusted, "left"))

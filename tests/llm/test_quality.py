@@ -88,3 +88,18 @@ def test_empty_and_clashing(spark):
     assert quality.keep_good(docs.limit(0), labels).columns == docs.columns
     assert quality.keep_good(docs, labels).count() == 0
     assert quality.quality_report(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    # raw and target counts are the same when every document is trusted, however many there are
+    docs = spark.range(50_400).selectExpr("id as doc_id", "concat('w', id % 9973, ' x', id % 7) as text").repartition(8)
+    ratio = quality.fit(docs, docs.select("doc_id"))
+    assert not any(ratio.weights)
+
+
+def test_trusted_keys_listed_or_joined(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("if(id % 50 = 0, null, id) as doc_id", "concat('w', id % 17, ' x', id % 7) as text").repartition(8)
+    trusted = docs.filter("doc_id % 3 = 0").select("doc_id")
+    listed = quality.fit(docs, trusted)
+    monkeypatch.setattr(quality, "LISTED", 0)
+    assert quality.fit(docs, trusted) == listed
