@@ -151,10 +151,11 @@ def buffer_cells(df: DataFrame, d: float, cell: float, dissolve: bool = False) -
     """
     keep = [c for c in df.columns if c not in ("geom", *BOX)]
     x, y = _center("cx", cell), _center("cy", cell)
-    near = F.exists(G.edges(F.col("geom")), lambda e: G.point_segment_distance(
+    near = F.exists(F.col("_edges"), lambda e: G.point_segment_distance(
         x, y, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]) <= d)
-    inside = G.is_polygon(F.col("geom")) & G.covers_point(F.col("geom"), x, y)
-    cells = _grid_of(df, cell, d).filter(near | inside).select(*keep, "cx", "cy")
+    inside = F.col("_polygon") & G.covers_point(F.col("geom"), x, y)
+    given = df.withColumns({"_edges": G.edges(F.col("geom")), "_polygon": G.is_polygon(F.col("geom"))})     # once a feature, not for each cell
+    cells = _grid_of(given, cell, d).filter(near | inside).select(*keep, "cx", "cy")
     return cells.select("cx", "cy").distinct() if dissolve else cells
 
 
