@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from terralane.functions import geometry as G
 from terralane.session import cut, require
 
+#: Arcs that are simplified by one call, on average at most.
+ARCS = 2048
 _ARC = "fid long, path int, seq int, arc binary, backward boolean"
 
 
@@ -176,14 +178,18 @@ def simplify_topology(df: DataFrame, tol: float, key: str = "id") -> DataFrame:
 
     def run(arc: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        guard = near[["x", "y"]].to_numpy(float)
+        near = near.sort_values("key", kind="stable")
+        keys, guard = near["key"].to_numpy(np.int64), near[["x", "y"]].to_numpy(float)
         for key, content in zip(arc["key"], arc["arc"]):
             at = np.frombuffer(content, np.float64).reshape(-1, 2)
-            kept = simplified(at, guard, tol) if len(at) > 2 else np.arange(len(at))
+            first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            kept = simplified(at, guard[first:last], tol) if len(at) > 2 else np.arange(len(at))
             rows.append((key, content, np.ascontiguousarray(at[kept]).tobytes()))
         return pd.DataFrame(rows, columns=["key", "arc", "kept"])
 
-    done = arcs.groupBy("key").cogroup(others.groupBy("key")).applyInPandas(run, "key long, arc binary, kept binary")
+    # many arcs a call: one call for each would cost far more than the work
+    some = F.pmod(F.col("key"), F.lit(max(arcs.count() // ARCS, 1) + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    done = arcs.groupBy(some).cogroup(others.groupBy(some)).applyInPandas(run, "key long, arc binary, kept binary")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
