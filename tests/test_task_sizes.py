@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terralane.operators import nearest
+from terralane.operators import nearest, network
 
 
 def clustered(rng, n):
@@ -40,3 +40,28 @@ def test_cells_with_few_rows_are_not_divided(spark, points):
                              F.floor(F.col("x") * 2**nearest.FINEST).cast("long").alias("ix"), F.floor(F.col("y") * 2**nearest.FINEST).cast("long").alias("iy"))
     leaf = {r["bid"]: r["leaf"] for r in nearest._undivided(df, len(rows), 20).collect()}
     assert {leaf[i] for i in range(10)} == {nearest.STEP} and {leaf[i] for i in range(20, 300)} <= set(range(14, 21, 2))
+
+
+def road(spark, n):
+    return spark.createDataFrame([(i, i + 1, 1.0 + i % 3) for i in range(n - 1)], "src long, dst long, length double")
+
+
+@pytest.mark.parametrize("cutoff", [None, 9.0])
+def test_sources_in_buckets(spark, monkeypatch, cutoff):
+    """Blocks with many sources split them; the labels are those of one walk to either side."""
+    monkeypatch.setattr(network, "BLOCK_LABELS", 40)
+    n, step = 90, [1.0 + i % 3 for i in range(89)]
+    sources = spark.createDataFrame([(1000 + i, i) for i in range(0, n, 5)], "source long, node long")
+    got = network.relax(network.both_ways(road(spark, n)), sources, cutoff, block_nodes=20).collect()
+    at = [sum(step[:i]) for i in range(n)]
+    want = {(1000 + i, j): abs(at[i] - at[j]) for i in range(0, n, 5) for j in range(n) if cutoff is None or abs(at[i] - at[j]) <= cutoff}
+    assert {(r["source"], r["node"]): r["dist"] for r in got} == want and len(got) == len(want)
+
+
+def test_far_sources_split_no_block(spark, monkeypatch):
+    """The number of buckets follows the sources that came to a block, not all of them."""
+    monkeypatch.setattr(network, "BLOCK_LABELS", 40)
+    shape = "block int, source long, node long, dist double, prev long"
+    labels = spark.createDataFrame([(0, s, n, 1.0, None) for s in range(8) for n in range(3)] + [(7, s, 900, 1.0, None) for s in range(500)], shape)
+    fresh = spark.createDataFrame([(0, 8, 4, 0.0, None), (3, 9, 70, 0.0, None)], shape)
+    assert {r["block"]: r["_buckets"] for r in network._bucket_counts(labels, fresh, 20).collect()} == {0: 5, 3: 1}
