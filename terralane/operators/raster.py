@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -419,7 +421,7 @@ def cloud_summary(mask: DataFrame) -> DataFrame:
                     F.avg("cloud").alias("cloud_ratio"))
 
 
-RULE_CHAIN = 64     # longer rule tables are joined instead of chained
+RULE_CHAIN = 64     # longer rule tables are looked up instead of chained
 
 
 def reclassify(cells: DataFrame, ranges, closed: str = "right", nodata: float | None = -9999.0) -> DataFrame:
@@ -436,12 +438,37 @@ def reclassify(cells: DataFrame, ranges, closed: str = "right", nodata: float |
         for lo, hi, val in rules:
             out = F.when(match(lo, hi), F.lit(val)).otherwise(out)
         return cells.withColumn("v", out)
-    # long tables: the last matching rule, found in an array literal without a join
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
-                               F.lit(val).alias("val")) for i, (lo, hi, val) in enumerate(rules)])
-    hits = F.filter(table, lambda t: match(t["lo"], t["hi"]))
-    best = F.when(F.size(hits) > 0, F.element_at(hits, -1)["val"])
-    return cells.withColumn("v", F.coalesce(best, F.lit(nodata).cast("double")))
+    # long tables: the rules are cut into runs without overlap, each with its last rule, and a value looks its run up
+    edges, winner = _rule_runs(rules)
+    side = "left" if closed == "right" else "right"
+    values = np.array([val for *_, val in rules])
+
+    @F.arrow_udf("double")
+    def look_up(x: pa.Array) -> pa.Array:
+        run = np.searchsorted(edges, x.to_numpy(zero_copy_only=False).astype(float), side)     # run i lies between edges i - 1 and i
+        rule = winner[run]
+        return pa.array(values[np.maximum(rule, 0)], mask=rule < 0)
+    found = F.when(v.isNotNull(), look_up(v.cast("double")))
+    return cells.withColumn("v", F.coalesce(found, F.lit(nodata).cast("double")))
+
+
+def _rule_runs(rules: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the rules in order, and for the run before each end and behind the last one the last rule that holds there (-1: none)."""
+    edges = np.unique(np.array([end for lo, hi, _ in rules for end in (lo, hi)]))
+    winner = np.full(len(edges) + 1, -1)
+    first, last = (np.searchsorted(edges, np.array([rule[k] for rule in rules])) for k in (0, 1))
+    free = list(range(len(edges) + 1))      # the next run at or behind each that no later rule has taken
+    for rule in reversed(range(len(rules))):
+        at = first[rule] + 1
+        while at <= last[rule]:
+            after = at
+            while free[after] != after:
+                free[after] = free[free[after]]
+                after = free[after]
+            if after <= last[rule]:
+                winner[after], free[after] = rule, after + 1
+            at = after + 1
+    return edges, winner
 
 
 def fill_nodata(cells: DataFrame, max_dist: float = 10.0) -> DataFrame:

@@ -260,7 +260,7 @@ def _(fx):
 @query("reclassify_long_table_r15", """
 select r, c, case when v>=0 and v<100000 then floor(v/10)*1.0e0 else null end as v from fx_dem""")
 def _(fx):
-    rules = [(10 * i, 10 * i + 10, i) for i in range(200)]
+    rules = [(10 * i, 10 * i + 10, i) for i in range(10_000)]
     return R.reclassify(fx.dem, rules, closed="left", nodata=None)
 
 
