@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from terralane.operators import raster as R
+from terralane.operators import siting as S
 
 
 @pytest.mark.parametrize("closed", ["left", "right"])
@@ -27,3 +28,33 @@ def test_reclassify_query_has_a_class_for_every_height(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r["r"] * 500 + r["c"]: r["v"] for r in entry.queries()["reclassify_long_table_r15"](spark, str(tmp_path)).collect()}
     assert got == {k: float((100 + 2 * (k // 500) + 0.5 * (k % 500) + k * 37 % 17) // 10) for k in keys}
+
+
+def brute_access(demand, places, beta, least):
+    total = sum(p for *_, p in demand)
+
+    def one(x, y):
+        far = [(math.hypot(x - u, y - v), p) for u, v, p in demand if math.hypot(x - u, y - v) > least]
+        return sum(p / d ** beta for d, p in far) * total / len(places)
+    return [one(x, y) for x, y in places]
+
+
+@pytest.mark.parametrize("beta", [2.0, 1.5])
+def test_gravity_in_parts(spark, points, monkeypatch, beta):
+    monkeypatch.setattr(S, "FACILITY_PART", 7)
+    monkeypatch.setattr(S, "KERNEL_PAIRS", 100)
+    rng = random.Random(2)
+    demand = [(rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(1, 5)) for _ in range(60)] + [(0.0, 0.0, 2.0)]
+    places = [(60.0, 80.0), (0.0, 0.0)] + [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(20)]     # the first at the limit itself
+    got = S.gravity_access(spark.createDataFrame(demand, "x double, y double, pop double"), points(places), "pop", beta).collect()
+    want = brute_access(demand, places, beta, 100.0)
+    assert {r["id"]: r["accessibility"] for r in got} == pytest.approx(dict(enumerate(want)))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(len(want)), key=lambda i: -want[i])
+
+
+def test_gravity_with_more_facilities_than_once_allowed(spark):
+    n = 100_003
+    places = spark.range(n).selectExpr("id", "cast(id as double) as x", "0.0d as y")
+    got = S.gravity_access(spark.createDataFrame([(-500.0, 0.0, 3.0)], "x double, y double, pop double"), places, "pop")
+    last = got.filter(f"id = {n - 1}").first()
+    assert got.count() == n and last["rank"] == n and last["accessibility"] == pytest.approx(9.0 / (n + 499) ** 2 / n)
