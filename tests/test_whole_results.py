@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from terralane.operators import raster as R
 from terralane.operators import siting as S
+from terralane.operators.nearest import knn_join
 
 
 @pytest.mark.parametrize("closed", ["left", "right"])
@@ -58,3 +59,24 @@ def test_gravity_with_more_facilities_than_once_allowed(spark):
     got = S.gravity_access(spark.createDataFrame([(-500.0, 0.0, 3.0)], "x double, y double, pop double"), places, "pop")
     last = got.filter(f"id = {n - 1}").first()
     assert got.count() == n and last["rank"] == n and last["accessibility"] == pytest.approx(9.0 / (n + 499) ** 2 / n)
+
+
+@pytest.mark.parametrize("listed", [100_000, 0])
+def test_only_points_in_reach_are_searched_for(spark, points, monkeypatch, listed):
+    monkeypatch.setattr(S, "REACH_LISTED", listed)
+    searched = []
+
+    def knn(a, b, *args, **kwargs):
+        searched.append(a.count())
+        return knn_join(a, b, *args, **kwargs)
+    monkeypatch.setattr(S, "knn_join", knn)
+    rng = random.Random(8)
+    near = [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(60)] + [(0.7, 0.0), (-0.7, 0.0), (0.0, 0.7)]     # the last at the limit itself
+    far = [(1000.0 + i, -1000.0) for i in range(500)]
+    layer = [(0.0, 0.0), (2.1, 2.1), (-2.0, 1.0)]
+    want = {i for i, (x, y) in enumerate(near + far) if min(math.sqrt((x - u) ** 2 + (y - v) ** 2) for u, v in layer) <= 0.7}
+    cells = points(near + far)
+    assert {r["id"] for r in S.constrain_area(cells, {"shop": points(layer)}, [("shop", "distance<=0.7")]).collect()} == want
+    assert searched[0] <= len(near)
+    rest = S.constrain_area(cells, {"shop": points(layer), "spot": points([(0.0, 0.0)])}, [("spot", "distance>=0.5"), ("shop", "distance<=0.7")])
+    assert {r["id"] for r in rest.collect()} == {i for i in want if math.hypot(*near[i]) >= 0.5}
